@@ -124,9 +124,9 @@ def _confirm(percent: int):
     return run
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` semi- or anti-joined by ``doc_id``: a list of ids is broadcast up to BROADCAST_IDS, shuffled beyond."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+def with_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+    """``rows`` semi- or anti-joined by an id: a list of ids is broadcast up to BROADCAST_IDS, shuffled beyond."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
 def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -186,6 +186,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     return grouped_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, with all its columns; of repeated rows (same id and text) one stays, too."""
+    dropped = stored(near_duplicates(docs, percent=percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    named = lambda x: x.select(F.col("doc_id").alias(id_col))
+    left = with_ids(docs, named(dropped), "left_anti", id_col)
+    repeated = stored(left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).count().where("count > 1").select("doc_id"), "repeated")
+    once = with_ids(left, named(repeated), "left_semi", id_col).dropDuplicates([id_col, text_col])
+    return with_ids(left, named(repeated), "left_anti", id_col).unionByName(once) if repeated.head(1) else left
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

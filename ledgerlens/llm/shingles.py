@@ -37,17 +37,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def shingle_sets(texts: Sequence[str]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes: windows of five lower-cased (A-Z) words, or all of fewer."""
+def words_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' lower-cased (A-Z) bytes, each followed by a line end; each text's offset; each word's start, end, hash."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
     offsets = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    word = ~_SPACE[data]
-    edges = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    edges = np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     up, down = _power(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    words = mix((sums[ends] - sums[starts]) * down[starts])
+    return data, offsets, starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def shingle_sets(texts: Sequence[str]) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes: windows of five lower-cased (A-Z) words, or all of fewer."""
+    _, offsets, starts, _, words = words_of(texts)
     of = np.searchsorted(starts, offsets)  # each text's first word
     n = len(words)
     wide = sum(words[k : max(n - SHINGLE + 1 + k, k)] * _PLACE[k] for k in range(SHINGLE)) if n >= SHINGLE else np.zeros(0, np.uint64)

@@ -8,21 +8,22 @@
 3. A word's features are the word and its beginnings of four to seven letters. ``fit`` picks features by chi-squared and
    fits a logistic regression with counts as log(1 + n), on at most ``MAX_LABELLED`` labelled documents (those with the
    smallest hash of the id; rows of the held-out fold never).
-4. ``score_toxicity`` scores every document.
+4. ``score_toxicity`` scores every document; ``reject_toxic`` keeps the rows below the threshold, with all their columns.
 
 Nulls: a null text is empty and gets the score of a text without features; null or repeated ids are scored row by row;
 labels that are null are left out, of several labels for one id the largest counts. Without labelled rows of both kinds
-all scores are 0. An empty table gives no rows. Other columns are left out.
+all scores are 0. An empty table gives no rows. ``score_toxicity`` leaves other columns out.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import ship, stored, texts
@@ -274,30 +275,33 @@ def _next_key() -> str:
     return uuid.uuid4().hex
 
 
-def _scores(shared):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        read, w, b = _reader(shared), shared.value["weights"], shared.value["bias"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                z = [b + sum(w[i] * math.log1p(n) for i, n in read.counts(t).items()) for t in part.column("text").to_pylist()]
-                s = [1 / (1 + math.exp(-max(min(x, 40.0), -40.0))) if x > -math.inf else 0.0 for x in z]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
-
-    return run
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, score`` of every row of ``docs``; the letters' model and the classifier are fitted on ``docs`` first."""
+def scorer(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, max_labelled: int = MAX_LABELLED) -> Callable[[Column], Column]:
+    """Fit the letters' model and the classifier on ``docs``; gives a function from a text column to its score."""
     spark = docs.sparkSession
     ship(spark)
     rows = texts(docs, id_col, text_col)
     letters = fit_letters(rows)
     known, weights, bias = fit(rows, labels, letters, label=label, folds=folds, held_out=held_out, max_labelled=max_labelled)
     shared = spark.sparkContext.broadcast({"letters": letters, "known": known, "weights": weights.tolist(), "bias": bias, "key": _next_key()})
-    return rows.mapInArrow(_scores(shared), "doc_id long, score double")
+
+    @F.pandas_udf("double")
+    def score(some: pd.Series) -> pd.Series:
+        read, w, b = _reader(shared), shared.value["weights"], shared.value["bias"]
+        z = (b + sum(w[i] * math.log1p(n) for i, n in read.counts(t).items()) for t in some)
+        return pd.Series([1 / (1 + math.exp(-max(min(x, 40.0), -40.0))) if x > -math.inf else 0.0 for x in z], dtype=float)
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, score`` of every row of ``docs``."""
+    score = scorer(docs, labels, id_col=id_col, text_col=text_col, **options)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col)).alias("score"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score is below the threshold."""
+    return docs.where(scorer(docs, labels, text_col=text_col, **options)(F.col(text_col)) < threshold)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
