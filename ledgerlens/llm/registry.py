@@ -12,10 +12,11 @@ from ledgerlens.llm.near_dedup import op10_near_dedup
 from ledgerlens.llm.packing import op1_best_fit_packing
 from ledgerlens.llm.quality_model import op5_quality_model
 from ledgerlens.llm.quality_rules import op6_quality_rules
+from ledgerlens.llm.search import op7_topk_search
 from ledgerlens.llm.secret_scan import op3_secret_scan
 from ledgerlens.llm.token_files import op4_token_files
 from ledgerlens.llm.toxicity import op9_toxicity
 from ledgerlens.llm.url_filter import op2_url_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_token_files, op5_quality_model, op6_quality_rules, op8_source_mixing, op9_toxicity, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_token_files, op5_quality_model, op6_quality_rules, op7_topk_search, op8_source_mixing, op9_toxicity, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op8_source_mixing": mixing.SQL}
