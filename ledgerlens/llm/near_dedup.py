@@ -3,12 +3,14 @@
 1. ``sketch``: per document its number of shingles, a 128-bit fingerprint of its shingle set, ``BANDS`` band keys of
    ``ROWS`` minima each, and the lowest ``BITS`` bits of all minima packed into longs. Written to the shared folder.
 2. Documents with equal sets collapse to their smallest id (map-side minimum), so copies never meet pairwise.
-3. Per band key, every representative is paired with the smallest one of its bucket (a star, not all pairs). The packed
-   bits give a collision-corrected similarity by bit counts; pairs clearly below the threshold go (``MARGIN`` is over
-   five standard deviations). Of a document's stars first the most similar one, then all that still lie between
-   different components, are confirmed on the full sets, recomputed from the whole texts.
-4. Buckets that still hold several components: the members outside a bucket's largest component meet the members of
-   other components; bit counts filter within the join, survivors are confirmed. Pairs within one component need no test.
+3. In ``STARS`` turns every representative is paired with one leader of its buckets that isn't in its component yet (a
+   star per bucket, not all pairs; of several leaders the one with which it shares most bands). The packed bits give a
+   collision-corrected similarity by bit counts; pairs clearly below the threshold go (``MARGIN`` is over five standard
+   deviations). The others are confirmed on the full sets, recomputed from the whole texts.
+4. Buckets that still hold several components are dealt into blocks of about ``BLOCK`` members, and block meets block:
+   rows grow with members times blocks, pairs are never rows. Within a meeting, bit counts rule out what they can; the
+   members that remain get their texts and the remaining pairs are confirmed on the full sets. Pairs within one component
+   need no test, so a group of copies, once found, isn't compared again.
 5. Components over the confirmed links. ``component_id`` is the smallest id, ``kept`` says whether a document is it.
 
 A link at the threshold is missed by the bands with a chance of (1 - 0.85**6)**30 = 7e-7.
@@ -22,13 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import ship, stored, texts
 from ledgerlens.llm.graph import components
 
-PERCENT, BANDS, ROWS, BITS, MARGIN = 85, 30, 6, 4, 0.15
+PERCENT, BANDS, ROWS, BITS, MARGIN, STARS, BLOCK = 85, 30, 6, 4, 0.15, 2, 512
 HASHES = BANDS * ROWS
 WORDS = -(-HASHES * BITS // 64)
 #: A list of ids up to this many (16 MB) is broadcast; longer ones are joined by a shuffle.
@@ -124,6 +127,58 @@ def _confirm(percent: int):
     return run
 
 
+def _meetings(rows: pd.DataFrame, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of one block pair of a bucket that the bit counts can't rule out.
+
+    Pairs of one component need no test, and a pair that shares several bands is only looked at in its first one.
+    """
+    packed, bands = np.stack(rows["packed"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(rows["bands"].to_numpy()).astype(np.int64)
+    comp, n, ids, own = (rows[c].to_numpy() for c in ("id_c", "n_shingles", "id", "own"))
+    i, j, band = int(rows["i"].iloc[0]), int(rows["j"].iloc[0]), int(rows["band"].iloc[0])
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    ones, chance, found = np.uint64(int("1" * (64 // BITS), 16)), 1 / (1 << BITS), []
+    for at in range(0, len(left), 32):
+        a = left[at : at + 32]
+        x = packed[a][:, None, :] ^ packed[right][None, :, :]
+        differ = np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones).sum(2, dtype=np.int64)
+        ok = (1 - differ / HASHES - chance) / (1 - chance) >= least
+        ok &= comp[a][:, None] != comp[right][None, :]
+        ok &= 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
+        if i == j:
+            ok &= ids[a][:, None] < ids[right][None, :]
+        p, q = np.nonzero(ok)
+        p, q = a[p], right[q]
+        same = bands[p] == bands[q]
+        first = bands[p, same.argmax(1)] == band
+        found.append((p[first], q[first]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _survivors(least: float, percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = _meetings(rows, least, percent)
+        return rows.iloc[np.unique(np.concatenate([p, q]))][["band", "i", "j", "own", "id", "id_c"]]
+
+    return run
+
+
+def _confirmed(least: float, percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        from ledgerlens.llm.shingles import common, shingle_sets
+
+        p, q = _meetings(rows, least, percent)
+        every = rows["text"].tolist()
+        sets = [s for a, z in _slices(every) for s in shingle_sets(every[a:z])]
+        keep = []
+        for x, y in zip(p.tolist(), q.tolist()):
+            both = common(sets[x], sets[y])
+            keep.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"a": ids[p[keep]], "b": ids[q[keep]]}) if keep else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+    return run
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
     """``rows`` semi- or anti-joined by an id: a list of ids is broadcast up to BROADCAST_IDS, shuffled beyond."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
@@ -150,33 +205,44 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     similar = lambda a, b, n, m: (estimate(a, b) >= least) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
     buckets = reps.select("id", F.explode("bands").alias("band"))
-    first = buckets.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = buckets.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("packed").alias(f"{x}_packed"), F.col("n_shingles").alias(f"{x}_n"))
-    rated = stars.join(side("a"), "a").join(side("b"), "b").where(similar("a_packed", "b_packed", F.col("a_n"), F.col("b_n"))).select("a", "b", estimate("a_packed", "b_packed").alias("e"))
-    rated = stored(rated, "stars")
-    best = rated.groupBy("b").agg(F.max(F.struct("e", F.negative("a").alias("a"))).alias("x")).select(F.negative("x.a").alias("a"), "b")
-    links = confirm(best, rows, percent)
-    comps = stored(components(links), "groups")
+    comps, links, tested = None, None, None
 
     def grouped(x: DataFrame, name: str) -> DataFrame:
+        if comps is None:
+            return x.withColumn(f"{name}_c", F.col(name))
         c = comps.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
         return x.join(c, name, "left").withColumn(f"{name}_c", F.coalesce(f"{name}_c", name))
 
-    apart = grouped(grouped(rated.join(best, ["a", "b"], "left_anti"), "a"), "b").where("a_c <> b_c")
-    links = links.unionByName(confirm(apart, rows, percent))
-    comps = stored(components(links), "groups")
+    for turn in range(STARS):
+        members = grouped(buckets, "id")
+        # A bucket's leader: at first its smallest id, later some member of its largest component, another one each turn.
+        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        heads = members.groupBy("band", "id_c").agg(F.count("*").alias("n"), F.min_by("id", order).alias("a"))
+        of_band = F.min(F.struct("id_c", "a")) if turn == 0 else F.max(F.struct("n", "id_c", "a"))
+        heads = heads.groupBy("band").agg(of_band.alias("x"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most").select("band", F.col("x.a").alias("a"), F.col("x.id_c").alias("a_c"))
+        shared = members.join(heads, "band").where("id_c <> a_c").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
+        if tested is not None:
+            shared = shared.join(tested, ["a", "b"], "left_anti")
+        # One leader per document and turn: the one with which it shares most bands.
+        best = shared.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("x")).select(F.negative("x.a").alias("a"), "b")
+        best = stored(best, "stars")
+        tested = best if tested is None else tested.unionByName(best)
+        near = best.join(side("a"), "a").join(side("b"), "b").where(similar("a_packed", "b_packed", F.col("a_n"), F.col("b_n")))
+        found = confirm(near, rows, percent)
+        links = found if links is None else links.unionByName(found)
+        comps = stored(components(links), "groups")
 
     members = grouped(buckets, "id")
-    sizes = members.groupBy("band", "id_c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "id_c")).alias("x"), F.count("*").alias("k")).where("k > 1").select("band", F.col("x.id_c").alias("main"))
-    mixed = stored(members.join(mixed, "band").join(reps.select("id", "packed", "n_shingles"), "id"), "mixed")
-    x, y = mixed.where("id_c <> main").alias("x"), mixed.alias("y")
-    # Two members outside the main component meet once, the smaller id on the left.
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.id_c") != F.col("y.id_c")) & ((F.col("y.id_c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    rest = x.join(y, meet & similar("x.packed", "y.packed", F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    tested = rated.select("a", "b").unionByName(rated.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = confirm(rest.distinct().join(tested, ["a", "b"], "left_anti"), rows, percent)
+    sizes = members.groupBy("band", "id_c").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    several = sizes.where("all > most").select("band", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(several, "band").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "id_c").join(reps.select("id", "packed", "bands", "n_shingles"), "id")
+    keys = "band long, i int, j int, own int, id long, id_c long"
+    near = stored(met.groupBy("band", "i", "j").applyInPandas(_survivors(least, percent), keys), "near")
+    ids = stored(near.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    with_text = near.join(reps.select("id", "packed", "bands", "n_shingles"), "id").join(with_ids(rows, ids, "left_semi").withColumnRenamed("doc_id", "id"), "id")
+    more = stored(with_text.groupBy("band", "i", "j").applyInPandas(_confirmed(least, percent), "a long, b long"), "links")
     links = links.unionByName(more)
     comps = stored(components(links), "groups")
 
