@@ -52,7 +52,9 @@ def enrich(tx: DataFrame, users: DataFrame, cards: DataFrame) -> DataFrame:
     months = {n: must(S.parsed_month(F.col(n)), S.parsed_month(F.col(n)).isNotNull(), f"{n} is missing or no MM/YYYY") for n in ("expires", "acct_open_date")}
     now = S.month_index(F.col("date"))
     a = df.withColumns({"months_to_expire": months["expires"] - now, "months_from_account": now - months["acct_open_date"]}).where("months_to_expire >= 0 AND months_from_account >= 0")
-    b = a.withColumns({c: S.currency(F.col(c)) for c in ("credit_limit", "total_debt", "yearly_income", "per_capita_income")}).where("credit_limit > 0")
+    # The limit is checked, too: else the filter on it could drop a row without a card before its months are looked at.
+    limit = must(S.currency(F.col("credit_limit")), F.col("credit_limit").isNotNull(), "a card is missing (expires has no MM/YYYY)")
+    b = a.withColumns({c: S.currency(F.col(c)) for c in ("total_debt", "yearly_income", "per_capita_income")} | {"credit_limit": limit}).where("credit_limit > 0")
     chip = F.when(F.col("has_chip") == "YES", 1).when(F.col("has_chip") == "NO", 0).otherwise(F.raise_error(F.lit("has_chip is neither YES nor NO")).cast("int"))
     brand = F.initcap(F.trim("card_brand"))
     c = b.withColumns(

@@ -78,7 +78,7 @@ def assert_same_columns(a: DataFrame, b: DataFrame, *, ordered: bool = True) ->
 def column_report(df: DataFrame, expected: Sequence[str], ids: Sequence[str] = ("id", "fraud")) -> dict:
     """What differs from the expected features; ids and the label aren't features."""
     own = [c for c in df.columns if c not in ids]
-    return {"missing": sorted(set(expected) - set(own)), "extra": sorted(set(own) - set(expected)), "ordered": own == [c for c in expected if c in own]}
+    return {"missing": sorted(set(expected) - set(own)), "extra": sorted(set(own) - set(expected)), "ordered": [c for c in own if c in expected] == [c for c in expected if c in own]}
 
 
 def split_columns(df: DataFrame, label: str = "fraud", id_col: str = "id") -> tuple[list[str], DataFrame]:
