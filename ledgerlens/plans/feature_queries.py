@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
@@ -209,3 +209,35 @@ def stage2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.with_velocity(transactions(spark, sf_dir), "client_id", "client").withColumns({"n": W.first_seen("mcc", "client_id"), "m": W.first_seen("merchant_id", "card_id"), "k": W.first_seen("mcc", "card_id")})
     return df.select("id", (F.col("n") * F.col("has_error")).alias("mccnew_x_error"), (F.col("m") * F.col("k")).alias("merchant_is_new_x_mcc_is_new"), F.round(F.col("n") * F.col("client_velocity_spike_ratio"), 6).alias("mccnew_x_velocity"))
+
+
+PRODUCTS = f"""{HIGH}, {velocity_sql('client', 'client_id', 'tx', 'v')}, {velocity_sql('card', 'card_id', 'v', 'w')},
+a AS (SELECT w.*, CAST(log_abs_amount > thr + 1e-12 AS INT) AS above, CAST(log_abs_amount >= thr - 1e-12 AS INT) AS high, ({' + '.join(S.ERROR_MESSAGES)}) * log_abs_amount AS ea, coalesce(lag(has_error) {over('card_id')}, 0) AS e1,
+  CAST(coalesce(sum(fraud) {before(None, 'card_id')}, 0) > 0 AS INT) AS hist, coalesce(avg(log_abs_amount) {before(10, 'client_id')}, {past_mean_sql('log_abs_amount', 'client_id')}) AS rc, CAST(row_number() {over('client_id, mcc')} = 1 AS INT) AS mn FROM w, t)
+SELECT id, is_refund * above AS refund_high_amount, CAST(ea >= 2 AS INT) * high AS error_high_amount, CAST(hist * e1 AS BIGINT) AS card_hist_x_error, round(hist * e1 * log_abs_amount, 6) AS card_hist_err_x_amount,
+  round(ln(1 + log_abs_amount / (rc + 1e-6)) * mn, 6) AS dev_x_mccnew, round(ln(1 + log_abs_amount / (rc + 1e-6)) * card_velocity_spike_ratio, 6) AS dev_x_velocity, round(ln(1 + log_abs_amount / (rc + 1e-6)) * has_error, 6) AS dev_x_error, coalesce(lag(weekday) {over('client_id')}, -1) AS prev_weekday
+FROM a"""
+
+
+@query("exploratory_products", PRODUCTS)
+def exploratory_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of flags, deviations and history, and the weekday before."""
+    tx = transactions(spark, sf_dir)
+    (thr,) = A.quantiles(tx, "log_abs_amount", [0.9])
+    df = X.with_velocity(X.with_velocity(tx, "client_id", "client"), "card_id", "card").withColumns({"e1": W.lagged("has_error", 1, "card_id", 0), "hist": S.flag(W.past_sum("fraud", "card_id") > 0), "rc": F.coalesce(W.recent_mean("log_abs_amount", "client_id"), W.past_mean("log_abs_amount", "client_id")), "mn": W.first_seen("mcc", "client_id"), "prev_weekday": W.lagged("weekday", 1, "client_id", -1)})
+    x, dev = F.col("log_abs_amount"), F.log1p(S.ratio(F.col("log_abs_amount"), F.col("rc")))
+    return df.select(
+        "id", (F.col("is_refund") * S.flag(x > thr + 1e-12)).alias("refund_high_amount"), (S.flag(S.row_sum(list(S.ERROR_MESSAGES)) * x >= 2) * S.flag(x >= thr - 1e-12)).alias("error_high_amount"), (F.col("hist") * F.col("e1")).cast("long").alias("card_hist_x_error"),
+        F.round(F.col("hist") * F.col("e1") * x, 6).alias("card_hist_err_x_amount"), F.round(dev * F.col("mn"), 6).alias("dev_x_mccnew"), F.round(dev * F.col("card_velocity_spike_ratio"), 6).alias("dev_x_velocity"), F.round(dev * F.col("has_error"), 6).alias("dev_x_error"), "prev_weekday",
+    )
+
+
+@query("parity_cumsum_leak", f", c AS (SELECT *, CAST(sum(fraud) {over('client_id', 'ROWS UNBOUNDED PRECEDING')} AS BIGINT) AS cs FROM tx) SELECT id, coalesce(lag(cs) OVER (ORDER BY client_id, date, id), 0) AS leaked FROM c")
+def parity_cumsum_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The historical definition: the running total is shifted by a row without regard to clients, so a client's first row gets
+    the total of the client before. Only the clients' totals (one row each) meet in one window."""
+    tx = transactions(spark, sf_dir)
+    totals = tx.groupBy("client_id").agg(F.sum("fraud").alias("total"))
+    carried = totals.select("client_id", F.coalesce(F.lag("total").over(Window.orderBy("client_id")), F.lit(0)).alias("carried"))
+    own = tx.withColumn("mine", F.sum("fraud").over(W.log_of("client_id").rowsBetween(Window.unboundedPreceding, -1)))
+    return own.join(carried, "client_id").select("id", F.coalesce("mine", "carried").alias("leaked"))
