@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import new_path, ship, texts
+from ledgerlens.llm.common import new_path, ship, stored, texts
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens int, shard int, shard_start long"
 END_ID = 2
@@ -76,12 +76,13 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with ``start``: the ids of all documents before, over all shards.
 
-    One row per shard gives the shards' starts; that table has as many rows as there are files.
+    One row per shard gives the shards' starts; that table has as many rows as there are files. It is written first, so
+    that the planner knows its size and, while it is small, joins it without a shuffle of the ids.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
     shards = rows.groupBy("shard").agg(F.max(F.col("shard_start") + F.col("n_tokens")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(shards.select("shard", before.alias("base")), "shard").select("doc_id", "ids", "n_tokens", (F.col("base") + F.col("shard_start")).alias("start"))
+    return rows.join(stored(shards.select("shard", before.alias("base")), "shards"), "shard").select("doc_id", "ids", "n_tokens", (F.col("base") + F.col("shard_start")).alias("start"))
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
