@@ -15,8 +15,9 @@ import numpy as np
 #: Most words that a worker remembers; later ones are encoded as they come.
 MEMO_WORDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Signs that, at a word's end, the pre-splitting parts from its letters (an apostrophe may not be).
+_SIGNS = b".,!?;:#$%&*|)"
 _MARKS = re.compile("[\u0300-\u036f]")
-_TAIL = re.compile(rb"([a-z])([.,])$")
 
 
 class WordEncoder:
@@ -47,27 +48,36 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words that the memo doesn't have."""
         memo, found = self.memo, {}
-        tails, plain = [], set()
+        tails, letters, plain = [], set(), set()
         for w in words:
-            if _TAIL.search(w):
-                tails.append(w)
-                plain.update(x for x in (w[:-1], w[-1:]) if x not in memo)
+            if w.isalpha():
+                letters.add(w)
+                continue
+            head = w.rstrip(_SIGNS)
+            if head and len(head) < len(w) and (head.isalpha() or head.decode().isalpha()):  # the signs are a piece of their own
+                tail = w[len(head) :]
+                tails.append((w, head, tail))
+                if head not in memo:
+                    letters.add(head)
+                if tail not in memo:
+                    plain.add(tail)
             else:
                 plain.add(w)
         if self.final is not None:  # one call for all plain letter words; each ends with its only word-end token
-            letters = [w for w in plain if w.isalpha() or w.decode().isalpha()]
-            ids = np.asarray(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, dtype="<u4")
+            letters.update([w for w in plain if w.decode().isalpha()])
+            plain -= letters
+            ordered = list(letters)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(ordered).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.final[ids]) + 1 if len(ids) else ids
-            if len(ends) == len(letters):  # else some letter doesn't stay one when lowered: all go one by one
-                plain.difference_update(letters)
+            if len(ends) == len(ordered):  # else some letter doesn't stay one when lowered: all go one by one
                 raw, at = ids.tobytes(), 0
-                for w, end in zip(letters, (4 * ends).tolist()):
+                for w, end in zip(ordered, (4 * ends).tolist()):
                     found[w] = raw[at:end]
                     at = end
-        ordered = list(plain)
+                letters = set()
+        ordered = [*plain, *letters]
         found.update(zip(ordered, self._plain([w.decode() for w in ordered])))
-        for w in tails:
-            head, tail = w[:-1], w[-1:]
+        for w, head, tail in tails:
             found[w] = (found[head] if head in found else memo[head]) + (found[tail] if tail in found else memo[tail])
         return found
 
@@ -79,16 +89,17 @@ class WordEncoder:
                 yield self._plain([text])[0]
                 continue
             words = text.encode().translate(_LOWER).split()
-            try:
-                yield b"".join(map(memo.__getitem__, words))
-            except KeyError:
-                found = self._learn({w for w in words if w not in memo})
-                full = len(memo) + len(found) > MEMO_WORDS
-                memo.update(found)
+            missing = set(words).difference(memo)
+            if not missing:
                 yield b"".join(map(memo.__getitem__, words))
-                if full:  # the frequent words are in by now; others are encoded as they come
-                    for w in found:
-                        del memo[w]
+                continue
+            found = self._learn(missing)
+            full = len(memo) + len(found) > MEMO_WORDS
+            memo.update(found)
+            yield b"".join(map(memo.__getitem__, words))
+            if full:  # the frequent words are in by now; others are encoded as they come
+                for w in found:
+                    del memo[w]
 
 
 _encoders: dict[str, WordEncoder] = {}
