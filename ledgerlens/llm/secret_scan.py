@@ -24,6 +24,8 @@ rows. ``scan`` replaces columns named like those that it adds; ``redact`` keeps
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,28 +45,36 @@ CHANGE_CHANCE = {16: 0.15, 32: 0.15, 36: 0.15, 64: 0.33}
 FDR, MAX_SERIAL = 1e-3, 2.6
 MASK = "[SECRET]"
 _BLOCK = 64
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_FOUND = "array<struct<start:int,kind:int,end:int,m:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside another lambda a plain expression would be computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _fold(a: Column, join: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(a, F.lit(0), join)
 
 
-def prefix_sums(a: Column) -> Column:
-    """For each element of an int array the sum of those before it, by blocks (no quadratic pass over long arrays)."""
+def before_each(a: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an int array the elements before it joined from 0 (sums, maxima), by blocks: no quadratic pass."""
     at = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(at(F.ceil(F.size(a) / _BLOCK).cast("int")), lambda b: _sum(F.slice(a, b * _BLOCK + 1, _BLOCK)))
-    before = F.transform(blocks, lambda _, b: _sum(F.slice(blocks, 1, b)))
-    return F.transform(a, lambda _, j: F.get(before, F.floor(j / _BLOCK).cast("int")) + _sum(F.slice(a, F.floor(j / _BLOCK).cast("int") * _BLOCK + 1, j % _BLOCK)))
+    block = lambda j: F.floor(j / _BLOCK).cast("int")
+    blocks = lambda x: F.transform(at(F.ceil(F.size(x) / _BLOCK).cast("int")), lambda b: _fold(F.slice(x, b * _BLOCK + 1, _BLOCK), join))
+    carried = lambda t: F.transform(t, lambda _, b: _fold(F.slice(t, F.lit(1), b), join))
+    each = lambda x, c: F.transform(x, lambda _, j: join(F.get(c, block(j)), _fold(F.slice(x, block(j) * _BLOCK + 1, j % _BLOCK), join)))
+    return let(a, lambda x: let(let(blocks(x), carried), lambda c: each(x, c)))
 
 
-def _located(text: Column, pattern: str, kind: int, size: Column | None = None) -> Column:
+def _located(text: Column, pattern: str, kind: int) -> Column:
     """The matches of a pattern with their positions (code points, end exclusive); empty, and cheap, where there are none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
-    spans = F.zip_with(prefix_sums(lengths), F.zip_with(parts, found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("n"), m.alias("m"))), lambda s, x: F.struct((s + x["p"]).alias("start"), F.lit(kind).alias("kind"), (s + x["p"] + x["n"]).alias("end"), x["m"].alias("m")))
-    return F.when(text.rlike(pattern), F.filter(spans, lambda x: x["m"].isNotNull())).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>"))
+    parts = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    pairs = lambda x: F.zip_with(F.slice(x["p"], F.lit(1), F.size(x["m"])), x["m"], lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("n"), m.alias("m")))
+    starts = lambda y: before_each(F.transform(y, lambda e: e["p"] + e["n"]), lambda s, e: s + e)
+    span = lambda s, e: F.struct((s + e["p"]).alias("start"), F.lit(kind).alias("kind"), (s + e["p"] + e["n"]).alias("end"), e["m"].alias("m"))
+    found = let(let(parts, pairs), lambda y: F.zip_with(starts(y), y, span))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_FOUND))
 
 
 def _bare(spans: Column) -> Column:
@@ -105,12 +115,11 @@ def _measured(c: Column) -> Column:
     changes = F.length(F.regexp_replace(classes, r"(.)(?=\1)", "")) - 1
     change = pick(CHANGE_CHANCE)
     z_runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
-    codes = F.transform(F.split(text, ""), lambda x: F.instr(pick(SYMBOLS), x).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-    off = F.transform(codes, lambda x: x - mean)
-    power = F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x)
-    lagged = F.aggregate(F.zip_with(off, F.slice(off, 2, F.greatest(F.size(off) - 1, F.lit(0))), lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    serial = F.when(power > 0, F.abs(lagged / power + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda t, e: t + e)
+    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.instr(pick(SYMBOLS), x).cast("double"))
+    off = let(codes, lambda x: let(add(x) / F.size(x), lambda mean: F.transform(x, lambda e: e - mean)))
+    lag = lambda x: add(F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: a * F.coalesce(b, F.lit(0.0))))
+    serial = let(off, lambda x: let(add(F.transform(x, lambda e: e * e)), lambda power: F.when(power > 0, F.abs(lag(x) / power + 1 / F.size(x)) * F.sqrt(F.size(x))).otherwise(F.lit(99.0))))
     p = F.when(serial <= MAX_SERIAL, tail_probability((z_chi + z_runs) / 1.4142135623730951)).otherwise(F.lit(1.0))
     return F.struct(c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), p.alias("p"))
 
@@ -122,16 +131,17 @@ def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR) -> DataFr
     assign = F.filter(_located(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LEAST)
     a = docs.withColumn("base_spans", F.array_sort(F.concat(_bare(assign), _bare(_located(t, ACCESS, 1)), _bare(_located(t, HEX, 2)))))
     outside = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    likely = F.when(t.rlike(r"(?=[A-Za-z0-9+/_-]{20})[A-Za-z+/_-]*+[0-9]"), _located(t, CANDIDATE, 3)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>"))
+    likely = F.when(t.rlike(r"(?=[A-Za-z0-9+/_-]{20})[A-Za-z+/_-]*+[0-9]"), _located(t, CANDIDATE, 3)).otherwise(F.array().cast(_FOUND))
     found = F.filter(F.transform(F.filter(likely, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & outside(x)), _tested), lambda x: x["k"] > 0)
     b = a.withColumn(temp["found"], found)
     c = b.withColumn(temp["measured"], F.transform(temp["found"], _measured)).withColumn(temp["m"], F.size(temp["found"]))
-    total = F.aggregate(temp["measured"], F.lit(0.0), lambda s, x: s + x["n"])
-    weighted = F.transform(temp["measured"], lambda x: x["p"] / (x["n"] * F.col(temp["m"]) / total))
+    total = F.aggregate(temp["measured"], F.lit(0.0), lambda t, x: t + x["n"])
+    weigh = lambda x, t: x["p"] * t / (x["n"] * F.size(temp["found"]))
+    weighted = let(total, lambda t: F.transform(temp["measured"], lambda x: weigh(x, t)))
     ordered = F.array_sort(weighted)
     cut = F.coalesce(F.array_max(F.filter(F.transform(ordered, lambda q, i: F.when(q * F.col(temp["m"]) <= fdr * (i + 1), q)), lambda q: q.isNotNull())), F.lit(-1.0))
     d = c.withColumn(temp["cut"], F.when(F.col(temp["m"]) > 0, cut).otherwise(F.lit(-1.0)))
-    accepted = F.filter(temp["measured"], lambda x: x["p"] / (x["n"] * F.col(temp["m"]) / total) <= F.col(temp["cut"]))
+    accepted = let(total, lambda t: F.filter(temp["measured"], lambda x: weigh(x, t) <= F.col(temp["cut"])))
     more = F.transform(accepted, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     spans = F.when(F.col(temp["cut"]) >= 0, F.array_sort(F.concat("base_spans", more))).otherwise(F.col("base_spans"))
     return d.withColumn("spans", spans).drop(*temp.values())
@@ -141,11 +151,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", mask: str = MASK) -> Data
     """``docs`` with every span of its text replaced by ``mask`` (overlapping spans by one); a null text stays null."""
     row = "__secret_row"
     bare = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col(text_col).alias("text"))
-    ends = F.transform("spans", lambda x: x["end"])
-    a = scan(bare).withColumn("__secret_before", F.transform(ends, lambda _, i: F.coalesce(F.array_max(F.slice(ends, 1, i)), F.lit(0))))
-    before = lambda i: F.get(F.col("__secret_before"), i)
-    pieces = F.transform("spans", lambda x, i: F.when(x["start"] >= before(i), F.concat(F.substring(F.col("text"), before(i) + 1, x["start"] - before(i)), F.lit(mask))).otherwise(F.lit("")))
-    text = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.array_max(ends) + 1, F.length("text")))).otherwise(F.col("text"))
+    ends = lambda spans: F.transform(spans, lambda x: x["end"])
+    a = scan(bare)
+    piece = lambda t, x, last: F.when(x["start"] >= last, F.concat(F.substring(t, last + 1, x["start"] - last), F.lit(mask))).otherwise(F.lit(""))
+    pieces = F.zip_with("spans", before_each(ends(F.col("spans")), lambda m, e: F.greatest(m, e)), lambda x, last: piece(F.col("text"), x, last))
+    text = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.array_max(ends(F.col("spans"))) + 1, F.length("text")))).otherwise(F.col("text"))
     return a.select(*(text.alias(c) if c == text_col else F.col(row)[c].alias(c) for c in docs.columns))
 
 
