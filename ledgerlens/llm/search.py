@@ -186,7 +186,7 @@ def _search(shared, k: int):
                 found = [(qid, *shard.top(q["terms"][a:z], q["idf"][a:z], k, qid)) for qid, a, z in zip(q["ids"], q["offsets"][:-1], q["offsets"][1:])]
                 n = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x[0] for x in found], n).astype(np.int64)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], names=["query_id", "doc_id", "score"]
+                    [pa.array(np.repeat([x[0] for x in found], n).astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])), pa.array(np.concatenate([np.zeros(0), *(x[2] for x in found)]))], names=["query_id", "doc_id", "score"]
                 )
 
     return run
