@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the text contracts name it.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per session, so that workers import it by name wherever they run."""
+    # Rows hold whole texts: smaller Arrow batches bound what executors and workers hold at once.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_ledgerlens_shipped", False):
         return

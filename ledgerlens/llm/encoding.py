@@ -12,8 +12,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from ledgerlens.llm.memos import memo
+
 #: Most words that a worker remembers; later ones are encoded as they come.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Signs that, at a word's end, the pre-splitting parts from its letters (an apostrophe may not be).
 _SIGNS = b".,!?;:#$%&*|)"
@@ -83,30 +85,25 @@ class WordEncoder:
 
     def encode(self, some: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        memo = self.memo
+        known = self.memo
         for text in some:
             if not text.isascii() and _MARKS.search(text) or "<|" in text:
                 yield self._plain([text])[0]
                 continue
             words = text.encode().translate(_LOWER).split()
-            missing = set(words).difference(memo)
+            missing = set(words).difference(known)
             if not missing:
-                yield b"".join(map(memo.__getitem__, words))
+                yield b"".join(map(known.__getitem__, words))
                 continue
             found = self._learn(missing)
-            full = len(memo) + len(found) > MEMO_WORDS
-            memo.update(found)
-            yield b"".join(map(memo.__getitem__, words))
+            full = len(known) + len(found) > MEMO_WORDS
+            known.update(found)
+            yield b"".join(map(known.__getitem__, words))
             if full:  # the frequent words are in by now; others are encoded as they come
                 for w in found:
-                    del memo[w]
-
-
-_encoders: dict[str, WordEncoder] = {}
+                    del known[w]
 
 
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a tokenizer file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """This worker's encoder for a tokenizer file."""
+    return memo("encoder", path, lambda: WordEncoder(path))

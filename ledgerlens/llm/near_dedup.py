@@ -55,8 +55,11 @@ def _slices(texts_: list[str]) -> Iterator[tuple[int, int]]:
 def _sketches(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    from ledgerlens.llm.memos import forget
     from ledgerlens.llm.shingles import minima, mix, shingle_sets
 
+    forget()
+
     per_word = 64 // BITS
     for b in batches:
         every = b.column("text").to_pylist()
@@ -107,8 +110,10 @@ def _confirm(percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from ledgerlens.llm.memos import forget
         from ledgerlens.llm.shingles import common, shingle_sets
 
+        forget()
         last: dict[int, np.ndarray] = {}  # the sets of the ids just seen on the left, which come in runs
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -156,6 +161,9 @@ def _meetings(rows: pd.DataFrame, least: float, percent: int) -> tuple[np.ndarra
 
 def _survivors(least: float, percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        from ledgerlens.llm.memos import forget
+
+        forget()
         p, q = _meetings(rows, least, percent)
         return rows.iloc[np.unique(np.concatenate([p, q]))][["band", "i", "j", "own", "id", "id_c"]]
 

@@ -129,6 +129,9 @@ def _place(base: np.ndarray, starts: np.ndarray, firsts: np.ndarray, each: np.nd
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from ledgerlens.llm.memos import forget
+
+        forget()
         for b in batches:
             n, salt, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "salt", "rank"))
             at = before[n] + base[n, salt] + rank

@@ -94,6 +94,9 @@ def _checksums(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
+    from ledgerlens.llm.memos import forget
+
+    forget()
     for b in batches:
         lists = b.column("ids")
         raw, ends = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<i4").tobytes(), 4 * np.cumsum([0, *b.column("n_tokens").to_pylist()])

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import ship, stored, texts
+from ledgerlens.llm.memos import memo
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 MAX_LABELLED, FEATURES, LEAST_DOCS = 8000, 4096, 3
@@ -39,12 +40,15 @@ STRIP = ".,;:!?\"'`()[]{}<>#$%&*|~^_-+=/\\"
 LEET_COST, SEPARATOR_COST, REPEAT_COST, DOUBLE_COST, BORDER_COST = -1.0, -0.3, -0.7, -6.0, -8.0
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _THRICE, _RUNS = re.compile(r"(.)\1\1"), re.compile(r"(.)\1*", re.DOTALL)
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 
 
 def _letter_counts(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    from ledgerlens.llm.memos import forget
+
+    forget()
     table = np.zeros(0x250, np.int64)
     for c, i in _CODE.items():
         table[ord(c)] = i
@@ -170,17 +174,17 @@ class Reader:
         return tuple(found) or None
 
     def counts(self, text: str) -> dict:
-        tokens, memo, out = text.lower().split(), self.memo, {}
+        tokens, known, out = text.lower().split(), self.memo, {}
         try:
-            hits = list(filter(None, map(memo.__getitem__, tokens)))
+            hits = list(filter(None, map(known.__getitem__, tokens)))
         except KeyError:
-            new = {t: self._of(t) for t in set(tokens) if t not in memo}
-            full = len(memo) + len(new) > MEMO_WORDS
-            memo.update(new)
-            hits = list(filter(None, map(memo.__getitem__, tokens)))
+            new = {t: self._of(t) for t in set(tokens) if t not in known}
+            full = len(known) + len(new) > MEMO_WORDS
+            known.update(new)
+            hits = list(filter(None, map(known.__getitem__, tokens)))
             if full:
                 for t in new:
-                    del memo[t]
+                    del known[t]
         hits += filter(None, map(self._of, _spaced(tokens)))
         for found in hits:
             for x in found:
@@ -188,15 +192,9 @@ class Reader:
         return out
 
 
-_readers: dict[int, tuple[object, Reader]] = {}
-
-
 def _reader(shared) -> Reader:
     """This worker's reader for a broadcast model."""
-    if shared.value["key"] not in _readers:
-        _readers.clear()
-        _readers[shared.value["key"]] = Reader(shared.value["letters"], shared.value["known"])
-    return _readers[shared.value["key"]]
+    return memo("toxicity", shared.value["key"], lambda: Reader(shared.value["letters"], shared.value["known"]))
 
 
 def _all_features(shared):
