@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mixing, quality_rules
+from ledgerlens.llm import mixing, near_dedup, quality_rules
 from ledgerlens.llm.mixing import op8_source_mixing
 from ledgerlens.llm.near_dedup import op10_near_dedup
 from ledgerlens.llm.packing import op1_best_fit_packing
@@ -19,4 +19,4 @@ from ledgerlens.llm.toxicity import op9_toxicity
 from ledgerlens.llm.url_filter import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_token_files, op5_quality_model, op6_quality_rules, op7_topk_search, op8_source_mixing, op9_toxicity, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op8_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op8_source_mixing": mixing.SQL, "op10_near_dedup": near_dedup.SQL}
