@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import ship, stored, texts
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD_CHARS, BLOCK_DOCS, BLOCK_QUERIES, QUERY_EVERY = 64_000_000, 64, 4096, 50
+SHARD_CHARS, BLOCK_DOCS, BLOCK_QUERIES, QUERY_EVERY = 24_000_000, 64, 4096, 50
 INDEX = "terms binary, offsets binary, docs binary, counts binary, lengths binary, ids binary"
 SLACK = 1e-6
 
@@ -102,15 +102,17 @@ class Shard:
         self.impact = c * (K1 + 1) / (c + (K1 * (1 - B + B * lengths / mean_length))[self.docs])
         self.n, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK_DOCS)
         # The largest impact of each (term, block), in the order of the postings.
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.offsets))
-        key = term * self.blocks + self.docs // BLOCK_DOCS
-        first = _runs(key)
-        self.block, self.block_max = (key[first] % self.blocks).astype(np.int32), np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        del c
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
+        block = self.docs // BLOCK_DOCS
+        first = np.flatnonzero(np.concatenate([[len(term) > 0], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.block_max = block[first], np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        del block
         self.block_offsets = np.searchsorted(first, self.offsets)
         # Forward lists: each document's terms in order.
-        order = np.argsort(self.docs, kind="stable")
-        self.forward_term, self.forward_impact = term[order].astype(np.int32), self.impact[order]
-        self.forward_offsets = np.searchsorted(self.docs[order], np.arange(self.n + 1))
+        order = np.argsort(self.docs, kind="stable").astype(np.int32)
+        self.forward_term, self.forward_impact = term[order], self.impact[order]
+        self.forward_offsets = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
         self.weight = np.zeros(len(self.terms))
 
     def scores(self, docs: np.ndarray) -> np.ndarray:
@@ -179,6 +181,9 @@ def _search(shared, k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from ledgerlens.llm.memos import forget
+
+        forget()
         q = shared.value
         for b in batches:
             for i in range(b.num_rows):
