@@ -17,6 +17,9 @@ from ledgerlens.llm.packing import encode_pieces, place
 from ledgerlens.llm.secret_scan import redact
 from ledgerlens.llm.toxicity import reject_toxic
 
+#: Texts at least this similar are near-duplicates here; op10's own threshold is 85.
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds toxic go; it learns from ``labels``."""
@@ -25,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

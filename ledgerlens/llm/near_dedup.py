@@ -1,11 +1,12 @@
 """Near-duplicates by b-bit MinHash: bands for candidates, packed low bits for estimates, full sets for confirmation.
 
-1. ``sketch``: per document its number of shingles, a 128-bit fingerprint of its shingle set, ``BANDS`` band keys of
-   ``ROWS`` minima each, and the lowest ``BITS`` bits of all minima packed into longs. Written to the shared folder.
+1. ``sketch``: per document its number of shingles, a 128-bit fingerprint of its shingle set, band keys of as many
+   minima each as the threshold allows (``banding``), and the lowest ``BITS`` bits of all ``HASHES`` minima packed into
+   longs. Written to the shared folder.
 2. Documents with equal sets collapse to their smallest id (map-side minimum), so copies never meet pairwise.
 3. In ``STARS`` turns every representative is paired with one leader of its buckets that isn't in its component yet (a
    star per bucket, not all pairs; of several leaders the one with which it shares most bands). The packed bits give a
-   collision-corrected similarity by bit counts; pairs clearly below the threshold go (``MARGIN`` is over five standard
+   collision-corrected similarity by bit counts; pairs clearly below the threshold go (``margin`` is over five standard
    deviations). The others are confirmed on the full sets, recomputed from the whole texts.
 4. Buckets that still hold several components are dealt into blocks of about ``BLOCK`` members, and block meets block:
    rows grow with members times blocks, pairs are never rows. Within a meeting, bit counts rule out what they can; the
@@ -13,7 +14,8 @@
    need no test, so a group of copies, once found, isn't compared again.
 5. Components over the confirmed links. ``component_id`` is the smallest id, ``kept`` says whether a document is it.
 
-A link at the threshold is missed by the bands with a chance of (1 - 0.85**6)**30 = 7e-7.
+A link at the threshold is missed by the bands with a chance of at most ``MISSED``: (1 - 0.85**6)**30 = 7e-7 at 85 percent,
+(1 - 0.8**5)**36 = 6e-7 at 80.
 
 Nulls: a null text is empty; documents without words have no shingles and stay alone. A null id can't be named by a
 component: its row has a null ``component_id`` and is kept. Rows with the same id are one node and get the same result.
@@ -31,8 +33,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import ship, stored, texts
 from ledgerlens.llm.graph import components
 
-PERCENT, BANDS, ROWS, BITS, MARGIN, STARS, BLOCK = 85, 30, 6, 4, 0.15, 2, 512
-HASHES = BANDS * ROWS
+PERCENT, HASHES, BITS, MARGIN, MISSED, STARS, BLOCK = 85, 180, 4, 0.15, 1e-6, 2, 512
 WORDS = -(-HASHES * BITS // 64)
 #: A list of ids up to this many (16 MB) is broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -40,6 +41,20 @@ BATCH_CHARS = 400_000
 SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, packed array<long>"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and minima per band: the longest bands that miss a link at the threshold with a chance of at most MISSED."""
+    fits = [r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - (percent / 100) ** r) ** (HASHES // r) <= MISSED]
+    rows = max(fits, default=1)
+    return HASHES // rows, rows
+
+
+def margin(percent: int) -> float:
+    """How far below the threshold an estimate may lie: MARGIN at PERCENT, as many standard deviations where they are wider."""
+    match = lambda p: p / 100 + (1 - p / 100) / (1 << BITS)
+    deviation = lambda p: (match(p) * (1 - match(p))) ** 0.5
+    return MARGIN * max(1.0, deviation(percent) / deviation(PERCENT))
+
+
 def _slices(texts_: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about BATCH_CHARS characters."""
     at, size = 0, 0
@@ -52,46 +67,51 @@ def _slices(texts_: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts_)
 
 
-def _sketches(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    from ledgerlens.llm.memos import forget
-    from ledgerlens.llm.shingles import minima, mix, shingle_sets
-
-    forget()
-
-    per_word = 64 // BITS
-    for b in batches:
-        every = b.column("text").to_pylist()
-        for a, z in _slices(every):
-            sets = shingle_sets(every[a:z])
-            n = np.array([len(s) for s in sets], np.int64)
-            full = [s for s in sets if len(s)]
-            bands, packed, prints = np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS), np.uint64), np.zeros((2, len(sets)), np.uint64)
-            if full:
-                low = minima(full, HASHES)
-                key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x100000001B3) + low[:, r::ROWS])
-                bands = key
-                bits = np.zeros((len(full), WORDS * per_word), np.uint64)
-                bits[:, :HASHES] = mix(low) & np.uint64((1 << BITS) - 1)
-                packed = np.bitwise_or.reduce(bits.reshape(-1, WORDS, per_word) << (np.arange(per_word, dtype=np.uint64) * np.uint64(BITS)), axis=2)
-                first = np.cumsum([0, *(len(s) for s in full[:-1])])
-                joined = np.concatenate(full)
-                for i in range(2):
-                    prints[i, n > 0] = np.add.reduceat(mix(joined ^ np.uint64(0x5851F42D4C957F2D + i)), first)
-            lists = lambda m, width: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, width, 0))]), pa.int32()), pa.array(m.reshape(-1).view(np.int64)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(a, z - a), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(np.ascontiguousarray(bands), BANDS), lists(np.ascontiguousarray(packed), WORDS)],
-                names=["doc_id", "n_shingles", "f1", "f2", "bands", "packed"],
-            )
-
-
-def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sketches(percent: int):
+    n_bands, n_rows = banding(percent)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ledgerlens.llm.memos import forget
+        from ledgerlens.llm.shingles import minima, mix, shingle_sets
+
+        forget()
+
+        per_word = 64 // BITS
+        for b in batches:
+            every = b.column("text").to_pylist()
+            for a, z in _slices(every):
+                sets = shingle_sets(every[a:z])
+                n = np.array([len(s) for s in sets], np.int64)
+                full = [s for s in sets if len(s)]
+                bands, packed, prints = np.zeros((0, n_bands), np.uint64), np.zeros((0, WORDS), np.uint64), np.zeros((2, len(sets)), np.uint64)
+                if full:
+                    low = minima(full, HASHES)
+                    key = np.zeros((len(full), n_bands), np.uint64) + np.arange(n_bands, dtype=np.uint64)
+                    for r in range(n_rows):
+                        key = mix(key * np.uint64(0x100000001B3) + low[:, r::n_rows])
+                    bands = key
+                    bits = np.zeros((len(full), WORDS * per_word), np.uint64)
+                    bits[:, :HASHES] = mix(low) & np.uint64((1 << BITS) - 1)
+                    packed = np.bitwise_or.reduce(bits.reshape(-1, WORDS, per_word) << (np.arange(per_word, dtype=np.uint64) * np.uint64(BITS)), axis=2)
+                    first = np.cumsum([0, *(len(s) for s in full[:-1])])
+                    joined = np.concatenate(full)
+                    for i in range(2):
+                        prints[i, n > 0] = np.add.reduceat(mix(joined ^ np.uint64(0x5851F42D4C957F2D + i)), first)
+                lists = lambda m, width: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, width, 0))]), pa.int32()), pa.array(m.reshape(-1).view(np.int64)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(a, z - a), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(np.ascontiguousarray(bands), n_bands), lists(np.ascontiguousarray(packed), WORDS)],
+                    names=["doc_id", "n_shingles", "f1", "f2", "bands", "packed"],
+                )
+
+    return run
+
+
+def sketch(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sketches of all rows (see the module's text)."""
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(_sketches, SKETCH)
+    return texts(docs, id_col, text_col).mapInArrow(_sketches(percent), SKETCH)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -205,11 +225,11 @@ def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (see the module's text)."""
     rows = texts(docs, id_col, text_col)
-    sketches = stored(sketch(rows), "sketches")
+    sketches = stored(sketch(rows, percent=percent), "sketches")
     print_ = ["n_shingles", "f1", "f2"]
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     reps = stored(named.groupBy(*print_).agg(F.min(F.struct("doc_id", "bands", "packed")).alias("x")).select(*print_, F.col("x.doc_id").alias("id"), "x.bands", "x.packed"), "representatives")
-    least = percent / 100 - MARGIN
+    least = percent / 100 - margin(percent)
     similar = lambda a, b, n, m: (estimate(a, b) >= least) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
     buckets = reps.select("id", F.explode("bands").alias("band"))

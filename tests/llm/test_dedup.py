@@ -41,6 +41,32 @@ def test_family_at_the_threshold(spark):
     check(D.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
+def test_stage_links_from_80_percent(spark, duck):
+    """Copies whose similarity lies between 0.80 and 0.85, and the whole small table."""
+    r = random.Random(9)
+    docs = []
+    for i in range(60):
+        w = [f"t{i}w{j}" for j in range(100)]
+        edited = list(w)
+        for at in r.sample(range(2, 98), r.randint(1, 3)):
+            edited[at] = f"edit{r.random()}"
+        docs += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(edited))]
+    docs += [(10_000 + i, t) for i, t in duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()]
+    kept = {i: {x for x, c in groups(docs, i)[0].items() if x == c} for i in (80, 85)}
+    assert len(kept[80]) < len(kept[85]) - 10
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {x.doc_id for x in got.collect()} == kept[80]
+
+
+def test_bands_and_margin_follow_the_threshold():
+    assert D.banding(85) == (30, 6) and D.margin(85) == D.MARGIN and D.banding(80) == (36, 5)
+    for percent in range(10, 101):
+        bands, rows = D.banding(percent)
+        assert bands * rows == D.HASHES and (1 - (percent / 100) ** rows) ** bands <= D.MISSED
+    match = 0.8 + 0.2 / 16
+    assert D.margin(80) >= 5 * (match * (1 - match) / D.HASHES) ** 0.5 * 16 / 15
+
+
 def test_sets_and_estimates():
     texts = ["", "a", "A\tb", "a b c d e", "a b c d e f a b c d e", "É é x y z w \x0b v"]
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
