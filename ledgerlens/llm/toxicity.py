@@ -1,10 +1,11 @@
 """Toxicity: noisy-channel deobfuscation, then a linear score of the restored words.
 
 1. ``fit_letters``: a character trigram model, counted over every whole text of the corpus (at most 64**3 counts).
-2. ``Channel.restore``: a suspicious token (other characters between letters, or a letter three times in a row; also
-   a run of three or more single characters) becomes a lattice: letters stand for themselves, leetspeak characters for the
-   letters that they resemble, separators may go, a repeated letter may go. Viterbi's best path under the trigram
-   model and the channel's costs is the restored text.
+2. ``Channel.restore``: a suspicious token (letters with other characters, leet signs at its ends too, or a doubled
+   letter; also a run of three or more single characters, punctuation beside them aside) becomes a lattice: letters
+   stand for themselves, leetspeak characters for the letters that they resemble, separators may go, a repeated letter
+   may go (at little cost where it is tripled or three letters of the token are repeated). Viterbi's best path under the
+   trigram model and the channel's costs is the restored text.
 3. A word's features are the word and its beginnings of four to seven letters. ``fit`` picks features by chi-squared and
    fits a logistic regression with counts as log(1 + n), on at most ``MAX_LABELLED`` labelled documents (those with the
    smallest hash of the id; rows of the held-out fold never).
@@ -36,10 +37,11 @@ PREFIXES = (4, 5, 6, 7)
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœš"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = frozenset(".,-_*~'\"`^:;/\\ ")
+SENTENCE = ".,;:?\"'`"  # no leet signs
 STRIP = ".,;:!?\"'`()[]{}<>#$%&*|~^_-+=/\\"
 LEET_COST, SEPARATOR_COST, REPEAT_COST, DOUBLE_COST, BORDER_COST = -1.0, -0.3, -0.7, -6.0, -8.0
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
-_THRICE, _RUNS = re.compile(r"(.)\1\1"), re.compile(r"(.)\1*", re.DOTALL)
+_TWICE, _RUNS = re.compile(r"(.)\1"), re.compile(r"(.)\1*", re.DOTALL)
 MEMO_WORDS = 200_000
 
 
@@ -97,7 +99,9 @@ class Channel:
         logs = self.logs
         states: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, -1)}  # by the last two letters: score, last node
         nodes: list[tuple[int, str]] = []
-        drop = [REPEAT_COST if len(x[0]) > 2 else DOUBLE_COST for x in _RUNS.finditer(token) for _ in x[0]]
+        runs = [x[0] for x in _RUNS.finditer(token)]
+        least = 2 if sum(len(x) > 1 and x.isalpha() for x in runs) >= 3 else 3
+        drop = [REPEAT_COST if len(x) >= least else DOUBLE_COST for x in runs for _ in x]
         for ch, twice in zip(token, drop, strict=True):
             nxt: dict[tuple[int, int], tuple[float, int]] = {}
             for (a, b), (s, node) in states.items():
@@ -128,26 +132,26 @@ class Channel:
 
 
 def suspicious(core: str) -> bool:
-    """Whether a token (without punctuation around it) may hide a word."""
+    """Whether a token (without punctuation around it, but with leet signs) may hide a word."""
     if core.isalpha():
-        return bool(_THRICE.search(core))
+        return bool(_TWICE.search(core))
     return any(c.isalpha() for c in core)
 
 
 def restored_words(token: str, channel: Channel) -> list[str]:
     """The words that a lower-case token stands for: itself, or its parts and what the channel restores."""
-    core = token.strip(STRIP)
+    core, signs = token.strip(STRIP), token.strip(SENTENCE)
     if not core:
         return []
-    if not suspicious(core):
+    if not suspicious(signs):
         return [core] if core.isalpha() else []
     plain = [w for w in re.split(r"[^\w]+|[\d_]+", core) if w]
-    return list(dict.fromkeys(plain + channel.restore(token.strip(".,;:?\"'`")).split() + channel.restore(core).split()))
+    return list(dict.fromkeys(plain + channel.restore(signs).split() + channel.restore(core).split()))
 
 
 def _spaced(tokens: list[str]) -> Iterator[str]:
-    """Runs of three or more tokens of one character each, joined by spaces."""
-    start = None
+    """Runs of three or more tokens of one character each (punctuation beside it aside), joined by spaces."""
+    start, tokens = None, [t if len(t) == 1 else t.strip(STRIP) or t for t in tokens]
     for i, t in enumerate([*tokens, "  "]):
         if len(t) == 1:
             start = i if start is None else start

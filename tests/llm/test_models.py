@@ -81,6 +81,16 @@ def test_deobfuscation(spark):
     assert T.restored_words("well", ch) == ["well"] and T.restored_words("###", ch) == []
 
 
+def test_words_behind_leet_signs_doubled_letters_and_punctuation(spark):
+    ch = T.Channel(T.fit_letters(spark.read.parquet(f"{LARGE}/documents.parquet").select("text")))
+    for hidden, word in {"$tupid": "stupid", "$cum": "scum", "(lown": "clown", "($tupid)": "stupid", "$tupid.": "stupid", "iddioott": "idiot", "mmoorroonn": "moron"}.items():
+        assert word in T.restored_words(hidden, ch), (hidden, T.restored_words(hidden, ch))
+    for text in ("s c u m.", "\"s c u m\"", "(s c u m)!", "s c u m, and"):
+        assert [ch.restore(x) for x in T._spaced(text.split())] == ["scum"]
+    for plain in ("well", "letter", "(see", "off)"):
+        assert T.restored_words(plain, ch)[0] == plain.strip("()")
+
+
 def test_toxicity_odd(spark):
     for some in (labels(spark), labels(spark, empty=True)):
         got = T.score_toxicity(odd_docs(spark), some).collect()
