@@ -6,7 +6,7 @@ splitting the text at the matches: the start of a match is the length of all pie
 
 ``random`` spans come from the battery. A candidate is a run of 20 or more key characters outside the base spans for
 which an encoding is inferred (the smallest that holds it): ``hex`` (16 symbols), ``base32`` (32), ``base36`` (36) or
-``base64`` (64); plain words, numbers and single-case letters have none. The tested hypothesis is *ordinary text*:
+``base64`` (64; letters of both cases, with or without digits); numbers and single-case letters have none. The tested hypothesis is *ordinary text*:
 
 * chi-squared of the symbol counts against the uniform alphabet. For ordinary text it is non-central, with n times the
   excess of its chance of equal symbols; too small a value speaks for a secret, the more so the longer the string is;
@@ -38,6 +38,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Whether a text has a candidate that an alphabet may hold: with a digit or letters of both cases.
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?:[a-z+/_-]*+[A-Z0-9]|[A-Z+/_-]*+[a-z0-9])"
 SYMBOLS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "abcdefghijklmnopqrstuvwxyz0123456789", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Ordinary text: its chance that two symbols are equal, and that neighbours differ in class.
 EQUAL_CHANCE = {16: 0.125, 32: 0.072, 36: 0.066, 64: 0.06}
@@ -97,7 +99,7 @@ def _tested(found: Column) -> Column:
         .when(body.rlike("^[A-Z2-7]+$") & body.rlike("[A-Z]") & body.rlike("[2-7]"), 32)
         .when(body.rlike("^[a-z0-9]+$") & body.rlike("[a-z]") & body.rlike("[0-9]"), 36)
         .when(body.rlike("^[A-Z0-9]+$") & body.rlike("[A-Z]") & body.rlike("[0-9]"), 36)
-        .when(body.rlike("[a-z]") & body.rlike("[A-Z]") & body.rlike("[0-9]"), 64)
+        .when(body.rlike("[a-z]") & body.rlike("[A-Z]"), 64)
         .otherwise(0)
     )
     return F.struct(found["start"].alias("start"), found["end"].alias("end"), k.alias("k"), same.alias("s"))
@@ -131,8 +133,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR) -> DataFr
     assign = F.filter(_located(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LEAST)
     a = docs.withColumn("base_spans", F.array_sort(F.concat(_bare(assign), _bare(_located(t, ACCESS, 1)), _bare(_located(t, HEX, 2)))))
     outside = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    likely = F.when(t.rlike(r"(?=[A-Za-z0-9+/_-]{20})[A-Za-z+/_-]*+[0-9]"), _located(t, CANDIDATE, 3)).otherwise(F.array().cast(_FOUND))
-    found = F.filter(F.transform(F.filter(likely, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & outside(x)), _tested), lambda x: x["k"] > 0)
+    likely = F.when(t.rlike(MIXED), _located(t, CANDIDATE, 3)).otherwise(F.array().cast(_FOUND))
+    found = F.filter(F.transform(F.filter(likely, lambda x: x["m"].rlike("[A-Za-z]") & outside(x)), _tested), lambda x: x["k"] > 0)
     b = a.withColumn(temp["found"], found)
     c = b.withColumn(temp["measured"], F.transform(temp["found"], _measured)).withColumn(temp["m"], F.size(temp["found"]))
     total = F.aggregate(temp["measured"], F.lit(0.0), lambda t, x: t + x["n"])
