@@ -154,6 +154,7 @@ class Shard:
             if len(alive) <= max(4 * k, self.n // 200):
                 break
         self.weight[at] = idf
+        alive = alive[self.forward_offsets[alive + 1] > self.forward_offsets[alive]]  # a text without terms may be there on its block's bound
         alive = alive[self.ids[alive] != skip] if skip is not None else alive
         s = self.scores(alive) if len(alive) else np.zeros(0)
         self.weight[at] = 0.0

@@ -132,6 +132,23 @@ def test_search(spark, sf_dir, duck):
     assert small.sort_values(["query_id", "rank"]).doc_id.tolist() == got.sort_values(["query_id", "rank"]).doc_id.tolist()
 
 
+def test_search_passes_over_empty_texts(spark):
+    """Queries so long that the search ends early, in a short block with empty texts: one between others, one at the end."""
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = [(i, "" if i in (3, 10) else f"{text} own{i}") for i in range(11)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    index = B.build_index(rows.coalesce(1))
+    got = B.search(index, rows.where("doc_id = 0")).toPandas().sort_values("rank")
+    best = brute(docs, B.TOP)[0]
+    assert got.doc_id.tolist() == [i for i, _ in best] and np.allclose(got.score, [s for _, s in best])
+    shard = B.Shard({k: bytes(v) for k, v in index.first().asDict().items()}, 401.0)
+    order = shard.ids.tolist()
+    assert sorted(order) == list(range(11))
+    for k in (5, 10):
+        ids, scores = shard.top(shard.terms, np.ones(len(shard.terms)), k, 0)
+        assert len(ids) == min(k, 8) and not {3, 10} & set(ids.tolist()) and (scores > 0).all()
+
+
 def test_search_odd(spark):
     docs = odd_docs(spark)
     index = B.build_index(docs)
