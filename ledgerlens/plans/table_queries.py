@@ -257,13 +257,13 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 @query("model_logit_scores")
 def model_logit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _model_rows(spark, sf_dir)
-    return L.score(L.fit_logit(train.cache(), _FEATURES, iterations=25), test)
+    return L.score(L.fit_logit(train.cache(), _FEATURES), test)
 
 
 @query("model_tree_metrics")
 def model_tree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _model_rows(spark, sf_dir)
-    return M.rank_metrics(L.score(L.fit_trees(train.cache(), _FEATURES, maxIter=5, maxDepth=3), test))
+    return M.rank_metrics(L.score(L.fit_trees(train.cache(), _FEATURES), test))
 
 
 @query("univariate_logits")

@@ -12,9 +12,10 @@ from ledgerlens.operators import analysis as N
 from ledgerlens.operators import artifacts as A
 from ledgerlens.operators import cleaning as C
 from ledgerlens.operators import metrics as M
+from ledgerlens.operators import models as L
 from ledgerlens.operators import ranking as R
 from ledgerlens.operators import validate as V
-from ledgerlens.plans import testmap
+from ledgerlens.plans import catalogue, testmap
 from ledgerlens.sources import tables as T
 
 
@@ -97,6 +98,13 @@ def test_metrics(spark):
     assert M.class_weight(df).first().weight == 1.5
 
 
+@pytest.mark.parametrize("name, fit", [("model_logit_scores", "fit_logit"), ("model_tree_metrics", "fit_trees")])
+def test_model_queries_fit_with_the_operators_defaults(name, fit, spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(L, fit, lambda train, features, f=getattr(L, fit), **options: asked.append(options) or f(train, features, **options))
+    assert catalogue.QUERIES[name](spark, sf_dir).count() and asked == [{}]
+
+
 def test_artifacts(spark, tmp_path):
     rows = [(i, "a" if i < 30 else "b", 1 if i < 20 else 0, float(i)) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, mcc string, fraud int, log_abs_amount double")
