@@ -1,15 +1,24 @@
-"""Exact top-k search: BM25 over an inverted index in shards, with block-max pruning, merged under global statistics.
+"""Exact top-k search: BM25 over an inverted index in shards, with block-max WAND pruning, merged under global statistics.
 
-``build_index`` deals documents into shards and writes one row per shard: sorted term hashes, postings (local document,
-count) by term, document lengths and ids. ``search`` takes queries block by block (at most ``BLOCK_QUERIES``, broadcast):
-their terms' document frequencies are summed over all shards first, so every shard scores with the same statistics;
-each shard gives its own exact top k and the merge of these is the exact top k of all.
+``build_index`` deals documents into shards and writes one row per shard: sorted term hashes with their document
+frequencies, postings (local document, count) by term, the same postings by document (``forward``), lengths and ids.
+Documents of a shard with equal words are one local document with several ids, so copies cost one posting each term.
 
-Within a shard a query runs as block-max WAND does, over whole arrays: terms by falling idf are added up in growing groups.
-After each group the k-th best sum so far is the threshold; a block of ``BLOCK_DOCS`` documents is bounded by the sums of
-its per-term block maxima for the terms not added yet, and documents that can't reach the threshold are dropped. Once
-few are left (or no terms), these are scored in full from their forward lists. Bounds are compared with a small slack,
-so rounding never drops a document. A query's terms count once each; equal scores go by the smaller id.
+``search`` takes queries in blocks of about ``BLOCK_TERMS`` terms (and ``BLOCK_QUERIES`` queries), so that what is broadcast is bounded. The document
+frequencies of their terms are summed over all shards first: every shard scores with the same statistics. Shards are
+searched in waves of growing size; after each the k-th best (score, id) of a query so far is its *cut*, which all later
+shards get: they return only rows that beat it, whatever the number of shards or of equal copies.
+
+Within a shard a query runs as block-max WAND does, over whole lists instead of single cursors:
+
+* pivot: terms stand by falling idf; from the pivot on, the upper bounds of the terms left don't reach ``SHARE`` of the cut.
+  Only lists before the pivot are walked; a document in none of them can't be a hit;
+* blocks: a document found so far is bounded by the block maxima of the frequent terms behind the pivot in its block of
+  ``BLOCK_DOCS``; blocks that can't reach the cut are skipped;
+* what is left is probed in the frequent terms' lists, and scored in full from its forward list if it still may reach the cut.
+
+Bounds are compared with a small slack, so rounding never drops a document; a score is always summed in the order of the
+terms, so it is the same number in every shard. A query's terms count once each; equal scores go by the smaller id.
 
 Terms are words of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, as 64-bit hashes. Nulls: a null text has no terms and is never
 found; a null id can't be named and is left out of the index. Repeated rows are separate documents and found each; the query
@@ -24,17 +33,33 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ship, stored, texts
+from ledgerlens.llm.common import new_path, ship, stored, texts
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD_CHARS, BLOCK_DOCS, BLOCK_QUERIES, QUERY_EVERY = 24_000_000, 64, 4096, 50
-INDEX = "terms binary, offsets binary, docs binary, counts binary, lengths binary, ids binary"
-SLACK = 1e-6
+SHARD_CHARS, BLOCK_DOCS, BLOCK_TERMS, BLOCK_QUERIES, QUERY_EVERY = 24_000_000, 64, 4_000_000, 100_000, 50
+#: The first wave's shards, and how many times all before it a wave has.
+WAVE, GROWTH = 4, 3
+#: The share of the cut that the lists behind the pivot may add up to; frequent terms: from 1 of so many documents, this many numbers at most.
+SHARE, FREQUENT, DENSE = 0.6, 16, 4_000_000
+ARRAYS = {"terms": np.uint64, "frequencies": np.int64, "offsets": np.int64, "docs": np.int32, "counts": np.int32, "forward": np.int32, "lengths": np.int32, "id_offsets": np.int64, "ids": np.int64}
+INDEX = ", ".join(f"{c} binary" for c in ARRAYS) + ", n_words long, n_texts long, wave int"
+SLACK = 1e-9
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of n each, one after the other."""
+    return np.repeat(first - _starts(n), n) + np.arange(n.sum())
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
+def _changes(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys start."""
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
 
 
 def _term_counts(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +70,7 @@ def _term_counts(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     text = np.searchsorted(offsets, starts, "right") - 1
     order = np.lexsort((words, text))
     text, words = text[order], words[order]
-    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (text[1:] != text[:-1])])) if len(words) else np.zeros(0, np.int64)
+    first = _changes(text, words)
     return text[first], words[first], np.diff(np.concatenate([first, [len(words)]])), np.bincount(text, minlength=len(some))
 
 
@@ -60,8 +85,46 @@ def _slices(every: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
         yield at, len(every)
 
 
+def wave_of(shard: int) -> int:
+    """Waves have WAVE shards, then GROWTH times all before."""
+    wave, upto = 0, WAVE
+    while shard >= upto:
+        wave, upto = wave + 1, upto * (1 + GROWTH)
+    return wave
+
+
+def _arrays(text: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's arrays from its (text, term, count) in order, its texts' lengths and ids."""
+    from ledgerlens.llm.shingles import mix
+
+    # Texts with the same counts of the same terms: one local document.
+    prints = np.zeros((len(ids), 2), np.uint64)
+    if len(text):
+        first = _changes(text)
+        for i in range(2):
+            prints[text[first], i] = np.add.reduceat(mix(term * np.uint64(2 * i + 3) + count.astype(np.uint64)), first)
+    order = np.lexsort((ids, prints[:, 1], prints[:, 0]))
+    runs = _changes(prints[order, 0], prints[order, 1])
+    doc = np.empty(len(ids), np.int64)
+    doc[order] = np.repeat(np.arange(len(runs)), np.diff(np.concatenate([runs, [len(ids)]])))
+    copies, own = np.bincount(doc, minlength=len(runs)), np.zeros(len(ids), bool)
+    own[order[runs]] = True
+    mine = own[text]
+    # By document, then by term; ``back`` is the place by document of each posting by term.
+    d, t, c = doc[text[mine]], term[mine], count[mine]
+    by_doc = np.argsort(d, kind="stable")
+    d, t, c = d[by_doc], t[by_doc], c[by_doc]
+    back = np.argsort(t, kind="stable")
+    forward = np.empty(len(back), np.int32)
+    forward[back] = np.arange(len(back), dtype=np.int32)
+    d, t, c = d[back], t[back], c[back]
+    heads = _changes(t)
+    return {"terms": t[heads], "frequencies": np.add.reduceat(copies[d], heads) if len(heads) else heads, "offsets": np.concatenate([heads, [len(t)]]), "docs": d, "counts": c, "forward": forward, "lengths": length[order[runs]], "id_offsets": np.concatenate([runs, [len(ids)]]), "ids": ids[order]}
+
+
 def _index_shard(batches: Iterator) -> Iterator:
     import pyarrow as pa
+    from pyspark import TaskContext
 
     docs, terms, counts, lengths, ids, n = [], [], [], [], [], 0
     for b in batches:
@@ -75,92 +138,111 @@ def _index_shard(batches: Iterator) -> Iterator:
             ids.append(own[a:z].astype(np.int64))
             n += z - a
     if n:
-        d, t, c = np.concatenate(docs), np.concatenate(terms), np.concatenate(counts)
-        order = np.argsort(t, kind="stable")
-        d, t, c = d[order], t[order], c[order]
-        first = _runs(t)
-        parts = [t[first], np.concatenate([first, [len(t)]]).astype(np.int64), d, c, np.concatenate(lengths), np.concatenate(ids)]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["terms", "offsets", "docs", "counts", "lengths", "ids"])
+        length = np.concatenate(lengths)
+        made = _arrays(np.concatenate(docs), np.concatenate(terms), np.concatenate(counts), length, np.concatenate(ids))
+        row = [pa.array([np.ascontiguousarray(made[c], t).tobytes()], pa.binary()) for c, t in ARRAYS.items()]
+        more = [pa.array([int(length.sum())], pa.int64()), pa.array([int((length > 0).sum())], pa.int64()), pa.array([wave_of(TaskContext.get().partitionId())], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*row, *more], names=[*ARRAYS, "n_words", "n_texts", "wave"])
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """The index of all rows, written: one row per shard, of about ``shard_chars`` characters each."""
-    ship(docs.sparkSession)
+    """The index of all rows, written in folders by wave: one row per shard, of about ``shard_chars`` characters each."""
+    spark = docs.sparkSession
+    ship(spark)
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     dealt = rows.repartition(max(1, -(-chars // shard_chars)), F.xxhash64("doc_id", "text"))
-    return stored(dealt.mapInArrow(_index_shard, INDEX), "index")
+    path = new_path(spark, "index")
+    dealt.mapInArrow(_index_shard, INDEX).write.partitionBy("wave").parquet(path)
+    return spark.read.schema(INDEX).parquet(path)
 
 
 class Shard:
     """One shard, ready for queries under the global mean length."""
 
     def __init__(self, row: dict[str, bytes], mean_length: float):
-        read = lambda c, t: np.frombuffer(row[c], t)
-        self.terms, self.offsets, self.docs, self.ids = read("terms", np.uint64), read("offsets", np.int64), read("docs", np.int32), read("ids", np.int64)
-        lengths, c = read("lengths", np.int32), read("counts", np.int32).astype(float)
+        read = lambda c: np.frombuffer(row[c], ARRAYS[c])
+        self.terms, self.offsets, self.forward, self.id_offsets, self.ids = (read(c) for c in ("terms", "offsets", "forward", "id_offsets", "ids"))
+        self.docs, c, lengths = read("docs").astype(np.int64), read("counts").astype(float), read("lengths")
+        self.n, sizes = len(lengths), np.diff(self.offsets)
         self.impact = c * (K1 + 1) / (c + (K1 * (1 - B + B * lengths / mean_length))[self.docs])
-        self.n, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK_DOCS)
-        # The largest impact of each (term, block), in the order of the postings.
         del c
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
-        block = self.docs // BLOCK_DOCS
-        first = np.flatnonzero(np.concatenate([[len(term) > 0], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.block, self.block_max = block[first], np.maximum.reduceat(self.impact, first) if len(first) else self.impact
-        del block
-        self.block_offsets = np.searchsorted(first, self.offsets)
-        # Forward lists: each document's terms in order.
-        order = np.argsort(self.docs, kind="stable").astype(np.int32)
-        self.forward_term, self.forward_impact = term[order], self.impact[order]
+        self.most = np.maximum.reduceat(self.impact, self.offsets[:-1]) if len(self.terms) else np.zeros(0)
+        self.term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
         self.forward_offsets = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
-        self.weight = np.zeros(len(self.terms))
+        self.weight, self.by_id = np.zeros(len(self.terms)), np.sort(self.ids)
+        # Frequent terms: their impacts by document, and the largest of each block.
+        rows = np.flatnonzero(sizes * FREQUENT >= self.n)
+        rows = rows[np.argsort(-sizes[rows], kind="stable")[: max(DENSE // max(self.n, 1), 1)]]
+        self.slot = np.full(len(self.terms), -1)
+        self.slot[rows] = np.arange(len(rows))
+        self.dense = np.zeros((len(rows), self.n))
+        for i, t in enumerate(rows.tolist()):
+            a, z = self.offsets[t], self.offsets[t + 1]
+            self.dense[i, self.docs[a:z]] = self.impact[a:z]
+        self.block_most = np.maximum.reduceat(self.dense, np.arange(0, self.n, BLOCK_DOCS), axis=1) if self.n else self.dense
 
     def scores(self, docs: np.ndarray) -> np.ndarray:
-        """Full scores of some documents under the weights set for a query, each summed in the order of its terms."""
-        a, z = self.forward_offsets[docs], self.forward_offsets[docs + 1]
-        size = z - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.add.reduceat(self.weight[self.forward_term[at]] * self.forward_impact[at], np.concatenate([[0], np.cumsum(size)[:-1]]))
+        """Full scores of some documents (with terms) under the weights set for a query, each summed in the order of its terms."""
+        a = self.forward_offsets[docs]
+        size = self.forward_offsets[docs + 1] - a
+        at = self.forward[_spread(a, size)]
+        return np.add.reduceat(self.weight[self.term[at]] * self.impact[at], _starts(size)) if len(at) else np.zeros(0)
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where sorted terms stand in this shard; -1: nowhere."""
+        at = np.searchsorted(self.terms, terms)
+        return np.where((at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms), at, -1) if len(self.terms) else np.full(len(terms), -1)
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents (ids, scores) for a query's sorted terms and their weights, without those named ``skip``."""
-        at = np.searchsorted(self.terms, terms)
-        there = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)
+        """The k best rows (ids, scores) for a query's sorted terms and their weights, without those named ``skip``."""
+        order = np.argsort(-idf, kind="stable")
+        return self.best(self.places(terms)[order], idf[order], k, skip)
+
+    def best(self, at: np.ndarray, idf: np.ndarray, k: int, skip: int | None, cut: tuple[float, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``top`` for terms by their places, the rarest first; with a cut (score, id) only rows that beat it."""
+        there = at >= 0
         at, idf = at[there], idf[there]
-        if not len(at):
+        bound = idf * self.most[at]
+        left = bound.sum() - np.cumsum(bound)  # what the terms behind each may add
+        least = cut[0] if cut else 0.0
+        if not len(at) or bound.sum() < least * (1 - SLACK):
+            return np.zeros(0, np.int64), np.zeros(0)
+        own = 0 if skip is None else int(np.searchsorted(self.by_id, skip, "right") - np.searchsorted(self.by_id, skip))
+        enough = k + own  # rows that are skipped may be among the best
+        pivot = int(np.argmax(left <= SHARE * least)) + 1 if cut else len(at)
+        walked = list(zip(self.offsets[at[:pivot]].tolist(), self.offsets[at[:pivot] + 1].tolist()))
+        gains = np.concatenate([self.impact[a:z] for a, z in walked])
+        gains *= np.repeat(idf[:pivot], [z - a for a, z in walked])
+        total = np.bincount(np.concatenate([self.docs[a:z] for a, z in walked]), weights=gains, minlength=self.n)
+        if not cut and self.n >= enough:
+            least = float(np.partition(total, self.n - enough)[self.n - enough])
+        least *= 1 - SLACK
+        alive = np.flatnonzero((total > 0) & (total >= least - left[pivot - 1]))
+        if pivot < len(at) and len(alive):
+            slot, weight = self.slot[at[pivot:]], idf[pivot:]
+            frequent = slot >= 0
+            rest = least - float(bound[pivot:][~frequent].sum())
+            slot, weight = slot[frequent], weight[frequent]
+            alive = alive[total[alive] + (weight @ self.block_most[slot])[alive // BLOCK_DOCS] >= rest]
+            alive = alive[total[alive] + weight @ self.dense[slot[:, None], alive] >= rest]
+        if not len(alive):
             return np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-idf, kind="stable")
-        at, idf = at[order], idf[order]
-        a, z = self.offsets[at], self.offsets[at + 1]
-        size = z - a
-        ba, bz = self.block_offsets[at], self.block_offsets[at + 1]
-        total, bound, alive, done, step = np.zeros(self.n), np.zeros(self.blocks), None, 0, 2000
-        spread = lambda first, n: np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        places = spread(ba, bz - ba)
-        of_block, of_max = self.block[places], self.block_max[places] * np.repeat(idf, bz - ba)
-        bound = np.bincount(of_block, weights=of_max, minlength=self.blocks)
-        cut = np.cumsum(bz - ba)
-        grown = np.cumsum(size)
-        while done < len(at):
-            upto = max(done + 1, int(np.searchsorted(grown, (grown[done - 1] if done else 0) + step, "right")))
-            some = slice(done, upto)
-            p = spread(a[some], size[some])
-            total += np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(idf[some], size[some]), minlength=self.n)
-            b = slice(cut[done - 1] if done else 0, cut[upto - 1])
-            bound -= np.bincount(of_block[b], weights=of_max[b], minlength=self.blocks)
-            done, step = upto, step * 2
-            least = np.partition(total, self.n - k - 1)[self.n - k - 1] if self.n > k + 1 else 0.0  # one more than k: the query itself may be among them
-            alive = np.flatnonzero(total + np.repeat(bound, BLOCK_DOCS)[: self.n] >= max(least - SLACK, SLACK))
-            if len(alive) <= max(4 * k, self.n // 200):
-                break
         self.weight[at] = idf
-        alive = alive[self.forward_offsets[alive + 1] > self.forward_offsets[alive]]  # a text without terms may be there on its block's bound
-        alive = alive[self.ids[alive] != skip] if skip is not None else alive
-        s = self.scores(alive) if len(alive) else np.zeros(0)
+        s = self.scores(alive)
         self.weight[at] = 0.0
-        best = np.lexsort((self.ids[alive], -s))[:k]
-        best = best[s[best] > 0]
-        return self.ids[alive[best]], s[best]
+        if len(s) > enough:
+            near = s >= np.partition(s, len(s) - enough)[len(s) - enough]
+            alive, s = alive[near], s[near]
+        first = self.id_offsets[alive]
+        size = np.minimum(self.id_offsets[alive + 1] - first, enough)
+        ids, s = self.ids[_spread(first, size)], np.repeat(s, size)
+        keep = np.ones(len(ids), bool) if skip is None else ids != skip
+        if cut:
+            keep &= (s > cut[0]) | (s == cut[0]) & (ids < cut[1])
+        ids, s = ids[keep], s[keep]
+        order = np.lexsort((ids, -s))[:k]
+        return ids[order], s[order]
 
 
 def _frequencies(shared):
@@ -169,31 +251,35 @@ def _frequencies(shared):
 
         wanted = shared.value
         for b in batches:
-            for row in b.to_pylist():
-                terms, offsets = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["offsets"], np.int64)
+            for terms, n in zip(b.column("terms"), b.column("frequencies")):
+                terms, n = np.frombuffer(terms.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
                 at = np.searchsorted(terms, wanted)
-                there = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.diff(offsets)[at[there]])], names=["place", "n"])
+                there = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == wanted) if len(terms) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[at[there]])], names=["place", "n"])
 
     return run
 
 
-def _search(shared, k: int):
+def _search(queries, cuts, k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from ledgerlens.llm.memos import forget
 
         forget()
-        q = shared.value
+        q, (scores, last) = queries.value, cuts.value
         for b in batches:
             for i in range(b.num_rows):
-                shard = Shard(b.slice(i, 1).to_pylist()[0], q["mean_length"])
-                found = [(qid, *shard.top(q["terms"][a:z], q["idf"][a:z], k, qid)) for qid, a, z in zip(q["ids"], q["offsets"][:-1], q["offsets"][1:])]
+                shard = Shard({c: b.column(c)[i].as_buffer() for c in ARRAYS}, q["mean_length"])
+                at, found = shard.places(q["wanted"]), []
+                for j, (qid, a, z) in enumerate(zip(q["ids"], q["offsets"][:-1], q["offsets"][1:])):
+                    cut = (float(scores[j]), int(last[j])) if scores[j] > 0 else None
+                    found.append((qid, *shard.best(at[q["terms"][a:z]], q["idf"][q["terms"][a:z]], k, qid, cut)))
                 n = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([x[0] for x in found], n).astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])), pa.array(np.concatenate([np.zeros(0), *(x[2] for x in found)]))], names=["query_id", "doc_id", "score"]
                 )
+                del shard
 
     return run
 
@@ -202,43 +288,62 @@ def _query_terms(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        every = b.column("text").to_pylist()
-        found = [np.unique(_term_counts([t])[1]).tobytes() for t in every]
+        found = [np.unique(_term_counts([t])[1]).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["query_id", "terms"])
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def _merged(k: int, n: int, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[tuple, tuple]:
+    """The k best (query, score, id) rows of each of n queries, and each query's k-th best (score, id); score 0: not k yet."""
+    query, score, ids = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, -score, query))
+    query, score, ids = query[order], score[order], ids[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    cuts = np.zeros(n), np.zeros(n, np.int64)
+    for cut, of in zip(cuts, (score, ids)):
+        cut[query[rank == k - 1]] = of[rank == k - 1]
+    return tuple(x[rank < k] for x in (query, score, ids)), cuts
+
+
+def search(index: DataFrame, queries: DataFrame, *, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, rank, doc_id, score``: each query's k best documents of the index. Queries without an id are left out; of several with one id, one is asked."""
     spark = index.sparkSession
     ship(spark)
-    stats = index.select("lengths").mapInArrow(_lengths, "words long, docs long").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    words, n = int(stats[0]), int(stats[1])
-    mean = words / n if n else 1.0
+    sc, empty = spark.sparkContext, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    stats = index.groupBy("wave").agg(F.sum("n_words").alias("words"), F.sum("n_texts").alias("n")).collect()
+    words, n = sum(r.words for r in stats), sum(r.n for r in stats)
     asked = stored(texts(queries, id_col, text_col).where("doc_id is not null").mapInArrow(_query_terms, "query_id long, terms binary").groupBy("query_id").agg(F.min("terms").alias("terms")), "queries")
-    blocks = max(1, -(-asked.count() // block_queries))
-    out = None
+    size = asked.agg(F.coalesce(F.sum(F.length("terms")), F.lit(0)), F.count("query_id")).first()
+    blocks = max(1, -(-size[0] // (8 * block_terms)), -(-size[1] // block_queries))
+    root, schema = new_path(spark, "found"), "query_id long, doc_id long, score double"
+    spark.createDataFrame([], schema).write.parquet(f"{root}/block=-1/wave=-1")
     for block in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        if not mine or not words:
+            continue
         each = [np.frombuffer(r.terms, np.uint64) for r in mine]
-        terms = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        wanted = np.unique(terms)
-        counted = index.select("terms", "offsets").mapInArrow(_frequencies(spark.sparkContext.broadcast(wanted)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        wanted, terms = np.unique(np.concatenate(each), return_inverse=True)
+        counted = index.select("terms", "frequencies").mapInArrow(_frequencies(sc.broadcast(wanted)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
         df = np.zeros(len(wanted))
-        df[[r.place for r in counted]] = [r.n for r in counted]
+        df[counted["place"].to_numpy()] = counted["n"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        shared = spark.sparkContext.broadcast({"ids": [r.query_id for r in mine], "offsets": np.cumsum([0, *map(len, each)]), "terms": terms, "idf": idf[np.searchsorted(wanted, terms)], "mean_length": mean})
-        found = stored(index.mapInArrow(_search(shared, k), "query_id long, doc_id long, score double"), "found")
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def _lengths(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for b in batches:
-        each = [np.frombuffer(x, np.int32) for x in b.column("lengths").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in each], pa.int64()), pa.array([int((x > 0).sum()) for x in each], pa.int64())], names=["words", "docs"])
+        ids, offsets = np.array([r.query_id for r in mine], np.int64), np.cumsum([0, *map(len, each)])
+        # Each query's terms, the rarest first.
+        order = np.argsort(np.argsort(-idf, kind="stable"), kind="stable")
+        terms = terms[np.lexsort((order[terms], np.repeat(np.arange(len(ids)), np.diff(offsets))))].astype(np.int32)
+        shared = sc.broadcast({"ids": ids.tolist(), "offsets": offsets.tolist(), "terms": terms, "idf": idf, "wanted": wanted, "mean_length": words / n})
+        best, cuts = _merged(k, len(ids), empty)
+        for wave in sorted(r.wave for r in stats):
+            path = f"{root}/block={block}/wave={wave}"
+            index.where(F.col("wave") == wave).mapInArrow(_search(shared, sc.broadcast(cuts), k), schema).write.parquet(path)
+            more = _ranked(spark.read.schema(schema).parquet(path), k).select("query_id", "score", "doc_id").toPandas()
+            best, cuts = _merged(k, len(ids), best, (np.searchsorted(ids, more["query_id"].to_numpy()), more["score"].to_numpy(), more["doc_id"].to_numpy()))
+        shared.unpersist()
+    return _ranked(spark.read.schema(schema).parquet(root), k)
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
