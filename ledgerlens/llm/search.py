@@ -93,40 +93,54 @@ def wave_of(shard: int) -> int:
     return wave
 
 
-def _arrays(text: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
-    """A shard's arrays from its (text, term, count) in order, its texts' lengths and ids."""
+def _prints(text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """128 bits of each text's terms and their counts."""
     from ledgerlens.llm.shingles import mix
 
-    # Texts with the same counts of the same terms: one local document.
-    prints = np.zeros((len(ids), 2), np.uint64)
-    if len(text):
-        first = _changes(text)
-        for i in range(2):
-            prints[text[first], i] = np.add.reduceat(mix(term * np.uint64(2 * i + 3) + count.astype(np.uint64)), first)
-    order = np.lexsort((ids, prints[:, 1], prints[:, 0]))
+    out, first = np.zeros((n, 2), np.uint64), _changes(text)
+    for i in range(2 if len(text) else 0):
+        out[text[first], i] = np.add.reduceat(mix(term * np.uint64(2 * i + 3) + count.astype(np.uint64)), first)
+    return out
+
+
+def _arrays(postings: list[np.ndarray], length: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's arrays from its postings (text, term, count), in this order, and its texts' lengths, prints and ids."""
+    # Texts with equal prints are one local document, numbered as its first text comes.
+    order = np.lexsort((np.arange(len(ids)), prints[:, 1], prints[:, 0]))
     runs = _changes(prints[order, 0], prints[order, 1])
-    doc = np.empty(len(ids), np.int64)
-    doc[order] = np.repeat(np.arange(len(runs)), np.diff(np.concatenate([runs, [len(ids)]])))
-    copies, own = np.bincount(doc, minlength=len(runs)), np.zeros(len(ids), bool)
-    own[order[runs]] = True
-    mine = own[text]
-    # By document, then by term; ``back`` is the place by document of each posting by term.
-    d, t, c = doc[text[mine]], term[mine], count[mine]
-    by_doc = np.argsort(d, kind="stable")
-    d, t, c = d[by_doc], t[by_doc], c[by_doc]
-    back = np.argsort(t, kind="stable")
+    heads = order[runs]
+    number = np.empty(len(runs), np.int32)
+    number[np.argsort(heads)] = np.arange(len(runs), dtype=np.int32)
+    doc = np.empty(len(ids), np.int32)
+    doc[order] = np.repeat(number, np.diff(np.concatenate([runs, [len(ids)]])))
+    heads.sort()
+    copies = np.bincount(doc, minlength=len(runs))
+    by_doc = np.lexsort((ids, doc))
+    text, term, count = postings
+    postings.clear()
+    if len(runs) < len(ids):
+        own = np.zeros(len(ids), bool)
+        own[heads] = True
+        own = own[text]
+        text, term, count = text[own], term[own], count[own]
+    d = doc[text]
+    del text
+    back = np.argsort(term, kind="stable").astype(np.int32)
+    term, d, count = term[back], d[back], count[back]
     forward = np.empty(len(back), np.int32)
     forward[back] = np.arange(len(back), dtype=np.int32)
-    d, t, c = d[back], t[back], c[back]
-    heads = _changes(t)
-    return {"terms": t[heads], "frequencies": np.add.reduceat(copies[d], heads) if len(heads) else heads, "offsets": np.concatenate([heads, [len(t)]]), "docs": d, "counts": c, "forward": forward, "lengths": length[order[runs]], "id_offsets": np.concatenate([runs, [len(ids)]]), "ids": ids[order]}
+    first = _changes(term)
+    return {"terms": term[first], "frequencies": np.add.reduceat(copies[d], first) if len(first) else first, "offsets": np.concatenate([first, [len(term)]]), "docs": d, "counts": count, "forward": forward, "lengths": length[heads], "id_offsets": np.concatenate([[0], np.cumsum(copies)]), "ids": ids[by_doc]}
 
 
 def _index_shard(batches: Iterator) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
-    docs, terms, counts, lengths, ids, n = [], [], [], [], [], 0
+    from ledgerlens.llm.memos import forget
+
+    forget()
+    docs, terms, counts, lengths, prints, ids, n = [], [], [], [], [], [], 0
     for b in batches:
         every, own = b.column("text").to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False)
         for a, z in _slices(every):
@@ -135,12 +149,19 @@ def _index_shard(batches: Iterator) -> Iterator:
             terms.append(term)
             counts.append(count.astype(np.int32))
             lengths.append(length.astype(np.int32))
+            prints.append(_prints(text, term, count, z - a))
             ids.append(own[a:z].astype(np.int64))
             n += z - a
     if n:
-        length = np.concatenate(lengths)
-        made = _arrays(np.concatenate(docs), np.concatenate(terms), np.concatenate(counts), length, np.concatenate(ids))
-        row = [pa.array([np.ascontiguousarray(made[c], t).tobytes()], pa.binary()) for c, t in ARRAYS.items()]
+        length, postings = np.concatenate(lengths), []
+        for parts in (docs, terms, counts):
+            postings.append(np.concatenate(parts))
+            parts.clear()
+        made = _arrays(postings, length, np.concatenate(prints), np.concatenate(ids))
+        row = []
+        for c, t in ARRAYS.items():
+            data = np.ascontiguousarray(made.pop(c), t)
+            row.append(pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.nbytes], np.int32)), pa.py_buffer(data)]))
         more = [pa.array([int(length.sum())], pa.int64()), pa.array([int((length > 0).sum())], pa.int64()), pa.array([wave_of(TaskContext.get().partitionId())], pa.int32())]
         yield pa.RecordBatch.from_arrays([*row, *more], names=[*ARRAYS, "n_words", "n_texts", "wave"])
 
