@@ -19,7 +19,7 @@ Benjamini-Hochberg step-up at ``FDR``, weighted by length (weights with a mean o
 tests have power, get the larger share of the error budget. One text's verdicts don't depend on other texts.
 
 Nulls: a null text is empty and has no spans. Null or repeated ids are scanned row by row; an empty table gives no
-rows. ``scan`` replaces columns named like those that it adds; ``redact`` keeps all columns but for the text.
+rows. Time grows in proportion to a text's length and its spans: no text is too long for the battery or the mask. ``scan`` replaces columns named like those that it adds; ``redact`` keeps all columns but for the text.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ EQUAL_CHANCE = {16: 0.125, 32: 0.072, 36: 0.066, 64: 0.06}
 CHANGE_CHANCE = {16: 0.15, 32: 0.15, 36: 0.15, 64: 0.33}
 FDR, MAX_SERIAL = 1e-3, 2.6
 MASK = "[SECRET]"
-_BLOCK = 64
+_BLOCK, _PART = 64, 1024
 _FOUND = "array<struct<start:int,kind:int,end:int,m:string>>"
 
 
@@ -83,6 +83,19 @@ def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
+def outside(candidates: Column, spans: Column) -> Column:
+    """The candidates that overlap no span, both sorted: one pass over all in order, with the furthest end before each and the next start after it."""
+    far = 1 << 30
+    of_span = lambda x, value: F.when(x["kind"] < KINDS.index("random"), value).otherwise(F.lit(0))
+    bare = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["m"].alias("m")))
+    every = F.array_sort(F.concat(bare(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit("").alias("m")))), bare(candidates)))
+    most = lambda a: before_each(a, lambda m, e: F.greatest(m, e))
+    ends = lambda a: most(F.transform(a, lambda x: of_span(x, x["end"])))
+    starts = lambda a: F.reverse(most(F.reverse(F.transform(a, lambda x: of_span(x, far - x["start"])))))
+    clear = lambda a: F.zip_with(a, F.arrays_zip(ends(a).alias("before"), starts(a).alias("after")), lambda x, y: F.when((x["kind"] == KINDS.index("random")) & (y["before"] <= x["start"]) & (far - y["after"] >= x["end"]), x))
+    return F.when((F.size(spans) == 0) | (F.size(candidates) == 0), bare(candidates)).otherwise(let(every, lambda a: F.filter(clear(a), lambda x: x.isNotNull())))
+
+
 def tail_probability(z: Column) -> Column:
     """The upper tail of the normal distribution, by a continued fraction; 0.5 below 1.5, where no test is decided."""
     fraction = z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 5))))
@@ -132,9 +145,9 @@ def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR) -> DataFr
     temp = {x: f"__secret_{x}" for x in ("assign", "found", "measured", "m", "cut")}
     assign = F.filter(_located(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LEAST)
     a = docs.withColumn("base_spans", F.array_sort(F.concat(_bare(assign), _bare(_located(t, ACCESS, 1)), _bare(_located(t, HEX, 2)))))
-    outside = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     likely = F.when(t.rlike(MIXED), _located(t, CANDIDATE, 3)).otherwise(F.array().cast(_FOUND))
-    found = F.filter(F.transform(F.filter(likely, lambda x: x["m"].rlike("[A-Za-z]") & outside(x)), _tested), lambda x: x["k"] > 0)
+    mixed = F.filter(likely, lambda x: x["m"].rlike("[A-Za-z]"))
+    found = let(mixed, lambda c: F.filter(F.transform(outside(c, F.col("base_spans")), _tested), lambda x: x["k"] > 0))
     b = a.withColumn(temp["found"], found)
     c = b.withColumn(temp["measured"], F.transform(temp["found"], _measured)).withColumn(temp["m"], F.size(temp["found"]))
     total = F.aggregate(temp["measured"], F.lit(0.0), lambda t, x: t + x["n"])
@@ -155,9 +168,19 @@ def redact(docs: DataFrame, *, text_col: str = "text", mask: str = MASK) -> Data
     bare = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col(text_col).alias("text"))
     ends = lambda spans: F.transform(spans, lambda x: x["end"])
     a = scan(bare)
-    piece = lambda t, x, last: F.when(x["start"] >= last, F.concat(F.substring(t, last + 1, x["start"] - last), F.lit(mask))).otherwise(F.lit(""))
-    pieces = F.zip_with("spans", before_each(ends(F.col("spans")), lambda m, e: F.greatest(m, e)), lambda x, last: piece(F.col("text"), x, last))
-    text = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.array_max(ends(F.col("spans"))) + 1, F.length("text")))).otherwise(F.col("text"))
+    # Parts of _PART characters first: taking a substring costs its distance from the string's start.
+    parts, block = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), lambda n: F.floor(n / _PART).cast("int")
+
+    def between(c: Column, start: Column, end: Column) -> Column:
+        first, last = block(start), block(end - 1)
+        across = F.concat(F.substring(F.get(c, first), start % _PART + 1, F.lit(_PART)), F.array_join(F.slice(c, first + 2, last - first - 1), ""), F.substring(F.get(c, last), F.lit(1), (end - 1) % _PART + 1))
+        return F.when(start >= end, "").when(first == last, F.substring(F.get(c, first), start % _PART + 1, end - start)).otherwise(across)
+
+    piece = lambda c, x, last: F.when(x["start"] >= last, F.concat(between(c, last, x["start"]), F.lit(mask))).otherwise(F.lit(""))
+    lasts = before_each(ends(F.col("spans")), lambda m, e: F.greatest(m, e))
+    pieces = lambda c: F.array_join(F.zip_with("spans", lasts, lambda x, last: piece(c, x, last)), "")
+    masked = let(parts, lambda c: F.concat(pieces(c), between(c, F.array_max(ends(F.col("spans"))), F.length("text"))))
+    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))
     return a.select(*(text.alias(c) if c == text_col else F.col(row)[c].alias(c) for c in docs.columns))
 
 
