@@ -17,7 +17,8 @@ _PLACE = _rng.integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2)
 _COUNT = np.arange(SHINGLE + 1, dtype=np.uint64) * _PLACE[SHINGLE]  # so that sets of fewer words differ from windows
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes hashed at a time: the working memory beside a text and its words.
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,26 +28,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2 to the 64th."""
-    if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(2 * n, b, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: np.uint64) -> np.ndarray:
+    steps = np.full(CHUNK + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 
 def words_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' lower-cased (A-Z) bytes, each followed by a line end; each text's offset; each word's start, end, hash."""
+    """The texts' lower-cased (A-Z) bytes, each followed by a line end; each text's offset; each word's start, end, hash.
+
+    A word's hash is a polynomial of its bytes, so it adds up over chunks, however long the word or the text is.
+    """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
     offsets = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    edges = np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    up, down = _power(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    return data, offsets, starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
+    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    del raw
+    space = _SPACE[data]
+    marks = np.flatnonzero(space[1:] != space[:-1]) + 1
+    marks = marks if space[0] else np.concatenate([[0], marks])
+    starts, ends = np.ascontiguousarray(marks[::2]), np.ascontiguousarray(marks[1::2])
+    words = np.zeros(len(starts), np.uint64)
+    for c in range(0, len(data), CHUNK):
+        z = min(c + CHUNK, len(data))
+        i, j = np.searchsorted(ends, c, "right"), np.searchsorted(starts, z)
+        if i >= j:
+            continue
+        sums = np.zeros(z - c + 1, np.uint64)
+        np.cumsum(_BYTE[data[c:z]] * _UP[: z - c], out=sums[1:])
+        first = np.maximum(starts[i:j], c) - c
+        part = (sums[np.minimum(ends[i:j], z) - c] - sums[first]) * _DOWN[first]
+        if starts[i] < c:
+            part[0] = int(part[0]) * pow(int(_BASE), c - int(starts[i]), 1 << 64) % (1 << 64)
+        words[i:j] += part
+    return data, offsets, starts, ends, mix(words)
 
 
 def shingle_sets(texts: Sequence[str]) -> list[np.ndarray]:

@@ -309,5 +309,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRES
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; ``held_out`` marks the fold that training never saw."""
     scored = score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

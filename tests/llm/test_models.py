@@ -157,3 +157,39 @@ def test_search_odd(spark):
     assert first.doc_id.tolist()[:2] == [2, 2] and not got.query_id.isin([3, 4, 5]).any()
     assert B.search(B.build_index(odd_docs(spark, empty=True)), docs).count() == 0
     assert B.search(index, docs.where(F.lit(False))).count() == 0
+
+
+def test_passages_depend_on_their_own_text_only():
+    """Brute force for the counts, and the same numbers alone, between others and over many parts."""
+    import random
+
+    r = random.Random(12)
+    pick = lambda n: " ".join(r.choice(["Alpha", "beta", "gamma,", "42", "ÜBER", "x" * 700, "\n", "beta beta"]) for _ in range(n))
+    some = ["same end\nsame end\nsame end\nsame end", "closing word end", "", " \n ", *(pick(n) for n in (1, 5, 60, 400)), "same end", "y" * 3000, "long text " * 90_000]
+    x, sizes = Q.passages(some)
+    alone = [Q.passages([t]) for t in some]
+    assert sizes.tolist() == [int(s[0]) for _, s in alone] and np.array_equal(x, np.concatenate([a for a, _ in alone]))
+    at = 0
+    for t, n in zip(some, sizes.tolist()):
+        cut = [line[k : k + Q.PASSAGE_BYTES] for line in (t + "\n").encode().splitlines(keepends=True) for k in range(0, len(line), Q.PASSAGE_BYTES)]
+        starts = np.cumsum([0, *map(len, cut)])
+        n_words = [sum(1 for i in range(a, z) if (t + "\n").encode()[i : i + 1] not in b" \n" and (i == 0 or t.encode()[i - 1 : i] in b" \n")) for a, z in zip(starts[:-1], starts[1:])] if len(t) < 5000 else []
+        if n_words:
+            want = [np.log1p(w) / 5 for w in n_words if w] or [0.0]
+            assert np.allclose(x[at : at + n, Q.WIDTH - Q.HASHED - 6], want) and n == len(want)
+        at += n
+    seen = Q.WIDTH - Q.HASHED - 2
+    assert x[:4, seen].tolist() == [0, 1, 1, 1] and x[4, seen] == 0
+
+
+def test_quality_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs, some = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = [{r.doc_id: r.score for r in Q.score_quality(docs.repartition(n), some).collect()} for n in (1, 7, 211)]
+    assert all(np.allclose([g[i] for i in got[0]], list(got[0].values()), rtol=0, atol=1e-6) for g in got[1:])
+
+
+def test_quality_fits_on_long_texts_and_a_bounded_sample(spark):
+    rows = spark.createDataFrame([(i, ("bad !!! " if i % 2 else "fine words, ") * (40_000 if i < 4 else 30)) for i in range(40)] * 2, "doc_id long, text string")
+    some = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in Q.score_quality(rows, some, max_labelled=20, training_passages=5).collect()}
+    assert all((s >= 0.5) == (i % 2 == 0) for i, s in got.items())
