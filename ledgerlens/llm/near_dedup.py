@@ -8,10 +8,11 @@
    star per bucket, not all pairs; of several leaders the one with which it shares most bands). The packed bits give a
    collision-corrected similarity by bit counts; pairs clearly below the threshold go (``margin`` is over five standard
    deviations). The others are confirmed on the full sets, recomputed from the whole texts.
-4. Buckets that still hold several components are dealt into blocks of about ``BLOCK`` members, and block meets block:
-   rows grow with members times blocks, pairs are never rows. Within a meeting, bit counts rule out what they can; the
-   members that remain get their texts and the remaining pairs are confirmed on the full sets. Pairs within one component
-   need no test, so a group of copies, once found, isn't compared again.
+4. Buckets that still hold several components are dealt into blocks of about ``BLOCK`` members and ``BLOCK_SHINGLES``
+   shingles at most, and block meets block: rows grow with members times blocks, pairs are never rows, and a meeting's
+   texts are bounded however long they are. Meetings are spread over tasks by the pairs that they have to look at. Within
+   one, bit counts rule out what they can; the members that remain get their texts and the remaining pairs are confirmed on
+   the full sets. Pairs within one component need no test, so a group of copies, once found, isn't compared again.
 5. Components over the confirmed links. ``component_id`` is the smallest id, ``kept`` says whether a document is it.
 
 A link at the threshold is missed by the bands with a chance of at most ``MISSED``: (1 - 0.85**6)**30 = 7e-7 at 85 percent,
@@ -33,11 +34,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import ship, stored, texts
 from ledgerlens.llm.graph import components
 
-PERCENT, HASHES, BITS, MARGIN, MISSED, STARS, BLOCK = 85, 180, 4, 0.15, 1e-6, 2, 512
+PERCENT, HASHES, BITS, MARGIN, MISSED, STARS, BLOCK, BLOCK_SHINGLES = 85, 180, 4, 0.15, 1e-6, 2, 256, 1_000_000
 WORDS = -(-HASHES * BITS // 64)
 #: A list of ids up to this many (16 MB) is broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 BATCH_CHARS = 400_000
+#: A leader's pairs are dealt over so many parts; pairs that a task of meetings looks at.
+SALTS, TASK_PAIRS = 256, 20_000_000
 SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, packed array<long>"
 
 
@@ -164,15 +167,16 @@ def _meetings(rows: pd.DataFrame, least: float, percent: int) -> tuple[np.ndarra
     ones, chance, found = np.uint64(int("1" * (64 // BITS), 16)), 1 / (1 << BITS), []
     for at in range(0, len(left), 32):
         a = left[at : at + 32]
-        x = packed[a][:, None, :] ^ packed[right][None, :, :]
-        differ = np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones).sum(2, dtype=np.int64)
-        ok = (1 - differ / HASHES - chance) / (1 - chance) >= least
-        ok &= comp[a][:, None] != comp[right][None, :]
+        ok = comp[a][:, None] != comp[right][None, :]
         ok &= 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
         if i == j:
             ok &= ids[a][:, None] < ids[right][None, :]
         p, q = np.nonzero(ok)
         p, q = a[p], right[q]
+        x = packed[p] ^ packed[q]
+        differ = np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones).sum(1, dtype=np.int64)
+        near = (1 - differ / HASHES - chance) / (1 - chance) >= least
+        p, q = p[near], q[near]
         same = bands[p] == bands[q]
         first = bands[p, same.argmax(1)] == band
         found.append((p[first], q[first]))
@@ -217,8 +221,11 @@ def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     own = with_ids(rows, ids, "left_semi")
-    right = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    both = right.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    # A leader may be in a third of all pairs: its text goes to the parts that its pairs are dealt over.
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    left = salted.select("a", "salt").distinct().join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    right = salted.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    both = right.join(left, ["a", "salt"])
     return stored(both.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
@@ -232,7 +239,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     least = percent / 100 - margin(percent)
     similar = lambda a, b, n, m: (estimate(a, b) >= least) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
-    buckets = reps.select("id", F.explode("bands").alias("band"))
+    # Only bands that two representatives share can link anything.
+    every = reps.select("id", F.explode("bands").alias("band"))
+    shared_bands = stored(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "bands")
+    buckets = stored(with_ids(every, shared_bands, "left_semi", "band"), "buckets")
     side = lambda x: reps.select(F.col("id").alias(x), F.col("packed").alias(f"{x}_packed"), F.col("n_shingles").alias(f"{x}_n"))
     comps, links, tested = None, None, None
 
@@ -262,15 +272,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         comps = stored(components(links), "groups")
 
     members = grouped(buckets, "id")
-    sizes = members.groupBy("band", "id_c").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    several = sizes.where("all > most").select("band", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.join(reps.select("id", "n_shingles"), "id").groupBy("band", "id_c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("band").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("s"))
+    several = stored(sizes.where("all > most").select("band", "all", F.ceil(F.greatest(F.col("all") / BLOCK, F.least(F.col("s") / BLOCK_SHINGLES, "all"))).cast("int").alias("blocks")), "several")
+    pairs = several.agg(F.coalesce(F.sum(F.col("all").cast("double") * F.col("all")), F.lit(0.0))).first()[0] / 2
+    tasks = int(min(max(pairs / TASK_PAIRS, docs.sparkSession.sparkContext.defaultParallelism), 100_000))
     own = members.join(several, "band").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "id_c").join(reps.select("id", "packed", "bands", "n_shingles"), "id")
+    met = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "id_c").join(reps.select("id", "packed", "bands", "n_shingles"), "id").repartition(tasks, "band", "i", "j")
     keys = "band long, i int, j int, own int, id long, id_c long"
     near = stored(met.groupBy("band", "i", "j").applyInPandas(_survivors(least, percent), keys), "near")
     ids = stored(near.select(F.col("id").alias("doc_id")).distinct(), "ids")
     with_text = near.join(reps.select("id", "packed", "bands", "n_shingles"), "id").join(with_ids(rows, ids, "left_semi").withColumnRenamed("doc_id", "id"), "id")
-    more = stored(with_text.groupBy("band", "i", "j").applyInPandas(_confirmed(least, percent), "a long, b long"), "links")
+    more = stored(with_text.repartition(tasks, "band", "i", "j").groupBy("band", "i", "j").applyInPandas(_confirmed(least, percent), "a long, b long"), "links")
     links = links.unionByName(more)
     comps = stored(components(links), "groups")
 
