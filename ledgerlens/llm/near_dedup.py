@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,58 +154,85 @@ def _confirm(percent: int):
     return run
 
 
-def _meetings(rows: pd.DataFrame, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row numbers) of one block pair of a bucket that the bit counts can't rule out.
+def _whole_groups(batches: Iterator) -> Iterator:
+    """Tables of whole (band, i, j) groups from rows sorted by these; only the last group of a batch waits for the next."""
+    import pyarrow as pa
+
+    waiting = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([b])])
+        keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+        at = int(other[-1]) + 1 if len(other) else 0
+        if at:
+            yield table.slice(0, at).combine_chunks()
+        waiting = table.slice(at).combine_chunks()
+    if waiting is not None:
+        yield waiting
+
+
+def _meetings(table, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of a table of whole groups that the bit counts can't rule out: all groups step by step, never a group's pairs at once.
 
     Pairs of one component need no test, and a pair that shares several bands is only looked at in its first one.
     """
-    packed, bands = np.stack(rows["packed"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(rows["bands"].to_numpy()).astype(np.int64)
-    comp, n, ids, own = (rows[c].to_numpy() for c in ("id_c", "n_shingles", "id", "own"))
-    i, j, band = int(rows["i"].iloc[0]), int(rows["j"].iloc[0]), int(rows["band"].iloc[0])
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    ones, chance, found = np.uint64(int("1" * (64 // BITS), 16)), 1 / (1 << BITS), []
-    for at in range(0, len(left), 32):
-        a = left[at : at + 32]
-        ok = comp[a][:, None] != comp[right][None, :]
-        ok &= 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
-        if i == j:
-            ok &= ids[a][:, None] < ids[right][None, :]
-        p, q = np.nonzero(ok)
-        p, q = a[p], right[q]
+    values = lambda c, width, t: table.column(c).combine_chunks().flatten().to_numpy().view(t).reshape(-1, width)
+    packed, n_bands = values("packed", WORDS, np.uint64), banding(percent)[0]
+    bands = values("bands", n_bands, np.int64)
+    band, i, j, own, ids, comp, n = (table.column(c).to_numpy() for c in ("band", "i", "j", "own", "id", "id_c", "n_shingles"))
+    head = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    sizes = np.diff(np.concatenate([head, [len(band)]]))
+    after = np.repeat(head + sizes, sizes)  # where each row's group ends
+    ones, chance, found, a, d = np.uint64(int("1" * (64 // BITS), 16)), 1 / (1 << BITS), [], np.arange(len(band)), 0
+    while len(a):
+        d += 1
+        a = a[a + d < after[a]]
+        p, q = a, a + d
+        ok = ((i[p] == j[p]) | (own[p] != own[q])) & (comp[p] != comp[q]) & (ids[p] != ids[q])
+        p, q = p[ok], q[ok]
+        ok = 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
+        p, q = p[ok], q[ok]
         x = packed[p] ^ packed[q]
         differ = np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones).sum(1, dtype=np.int64)
         near = (1 - differ / HASHES - chance) / (1 - chance) >= least
         p, q = p[near], q[near]
-        same = bands[p] == bands[q]
-        first = bands[p, same.argmax(1)] == band
+        first = bands[p, (bands[p] == bands[q]).argmax(1)] == band[p]
         found.append((p[first], q[first]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _survivors(least: float, percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator) -> Iterator:
         from ledgerlens.llm.memos import forget
 
         forget()
-        p, q = _meetings(rows, least, percent)
-        return rows.iloc[np.unique(np.concatenate([p, q]))][["band", "i", "j", "own", "id", "id_c"]]
+        for table in _whole_groups(batches):
+            p, q = _meetings(table, least, percent)
+            if len(p):
+                yield from table.take(np.unique(np.concatenate([p, q]))).select(["band", "i", "j", "own", "id", "id_c"]).combine_chunks().to_batches()
 
     return run
 
 
 def _confirmed(least: float, percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         from ledgerlens.llm.shingles import common, shingle_sets
 
-        p, q = _meetings(rows, least, percent)
-        every = rows["text"].tolist()
-        sets = [s for a, z in _slices(every) for s in shingle_sets(every[a:z])]
-        keep = []
-        for x, y in zip(p.tolist(), q.tolist()):
-            both = common(sets[x], sets[y])
-            keep.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
-        ids = rows["id"].to_numpy()
-        return pd.DataFrame({"a": ids[p[keep]], "b": ids[q[keep]]}) if keep else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        for table in _whole_groups(batches):
+            p, q = _meetings(table, least, percent)
+            rows = np.unique(np.concatenate([p, q]))
+            every = table.column("text").take(rows).to_pylist()
+            sets = dict(zip(rows.tolist(), (s for a, z in _slices(every) for s in shingle_sets(every[a:z]))))
+            keep = []
+            for x, y in zip(p.tolist(), q.tolist()):
+                both = common(sets[x], sets[y])
+                keep.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
+            ids, keep = table.column("id").to_numpy(), np.array(keep, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p[keep]]), pa.array(ids[q[keep]])], names=["a", "b"])
 
     return run
 
@@ -277,12 +303,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     pairs = several.agg(F.coalesce(F.sum(F.col("all").cast("double") * F.col("all")), F.lit(0.0))).first()[0] / 2
     tasks = int(min(max(pairs / TASK_PAIRS, docs.sparkSession.sparkContext.defaultParallelism), 100_000))
     own = members.join(several, "band").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "id_c").join(reps.select("id", "packed", "bands", "n_shingles"), "id").repartition(tasks, "band", "i", "j")
+    met = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "id_c").join(reps.select("id", "packed", "bands", "n_shingles"), "id")
+    # Whole groups come together in a task, in order; many small ones are looked at at once.
+    dealt = lambda x: x.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
     keys = "band long, i int, j int, own int, id long, id_c long"
-    near = stored(met.groupBy("band", "i", "j").applyInPandas(_survivors(least, percent), keys), "near")
+    near = stored(dealt(met).mapInArrow(_survivors(least, percent), keys), "near")
     ids = stored(near.select(F.col("id").alias("doc_id")).distinct(), "ids")
     with_text = near.join(reps.select("id", "packed", "bands", "n_shingles"), "id").join(with_ids(rows, ids, "left_semi").withColumnRenamed("doc_id", "id"), "id")
-    more = stored(with_text.repartition(tasks, "band", "i", "j").groupBy("band", "i", "j").applyInPandas(_confirmed(least, percent), "a long, b long"), "links")
+    more = stored(dealt(with_text).mapInArrow(_confirmed(least, percent), "a long, b long"), "links")
     links = links.unionByName(more)
     comps = stored(components(links), "groups")
 
