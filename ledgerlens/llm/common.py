@@ -35,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset in local mode (tests), an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(sc, "_ledgerlens_folder", None)
         if base is None:
             base = sc._ledgerlens_folder = tempfile.mkdtemp(prefix="ledgerlens-shared-")

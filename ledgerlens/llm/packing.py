@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import ship, stored, texts
 
 CAPACITY, END_ID, SALTS = 2048, 0, 128
+HELPERS = ("__pack_row", "__pack_salt", "__pack_rank")
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 BATCH_ROWS = 256
 
@@ -133,37 +134,39 @@ def _place(base: np.ndarray, starts: np.ndarray, firsts: np.ndarray, each: np.nd
 
         forget()
         for b in batches:
-            n, salt, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "salt", "rank"))
+            n, salt, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", *HELPERS[1:]))
             at = before[n] + base[n, salt] + rank
             i = np.searchsorted(starts, at, "right") - 1
             k = at - starts[i]
             more = {"sequence_id": firsts[i] + k // each[i], "offset": offsets[i] + k % each[i] * n}
-            keep = [c for c in b.schema.names if c not in ("salt", "rank")]
+            keep = [c for c in b.schema.names if c not in HELPERS]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, more.values())], names=[*keep, *more])
 
     return run
 
 
 def place(pieces: DataFrame, *, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Give each row of ``pieces`` (a ``length`` from 1 to ``capacity`` and any other columns) its ``sequence_id`` and ``offset``.
+    """Give each row of ``pieces`` (a ``length`` from 1 to ``capacity`` and any other columns; those named ``sequence_id`` or ``offset`` are replaced) its ``sequence_id`` and ``offset``.
 
     ``pieces`` is written to the shared folder first, so ranks stay the same if a task runs again. To the driver come
     the counts by (length, salt): at most ``capacity * salts`` small rows.
     """
     spark = pieces.sparkSession
     ship(spark)
-    kept = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    row, salt, rank = HELPERS
+    pieces = pieces.drop("sequence_id", "offset")
+    kept = stored(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    salted = kept.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     counts = np.zeros((capacity + 1, salts), np.int64)
-    for n, salt, c in salted.groupBy("length", "salt").count().collect():
-        counts[n, salt] = c
+    for n, part, c in salted.groupBy("length", salt).agg(F.count(F.lit(1))).collect():
+        counts[n, part] = c
     totals = counts.sum(1)
     before = np.cumsum(totals) - totals
     rows = sorted((int(before[n]) + first, *rest) for n, parts in plan({int(n): int(totals[n]) for n in np.flatnonzero(totals)}, capacity).items() for first, *rest in parts)
     table = [np.array(c, np.int64) for c in zip(*rows)] or [np.zeros(1, np.int64)] * 4
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
+    place_in_part = F.row_number().over(Window.partitionBy("length", salt).orderBy(row)) - 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, `offset` long"
-    return salted.withColumn("rank", rank.cast("long")).drop("row").mapInArrow(_place(np.cumsum(counts, 1) - counts, *table, before), schema)
+    return salted.withColumn(rank, place_in_part.cast("long")).drop(row).mapInArrow(_place(np.cumsum(counts, 1) - counts, *table, before), schema)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

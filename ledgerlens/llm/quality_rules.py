@@ -67,29 +67,29 @@ def compile_rules(rules: Sequence[tuple[str, float | None, float | None, int]] =
 
 
 def measures(df: DataFrame) -> DataFrame:
-    """``df`` (with a ``text`` column, not null) with its counts; ``text`` and helpers are dropped."""
+    """``df`` (with a ``text`` column, not null) with its counts; ``text`` is dropped, columns named like the counts are replaced."""
     size = lambda a: F.size(a).cast("long")
-    a = df.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE, "") != ""))
-    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(*(F.get(F.col("words"), i + k - 1) for k in range(WINDOW)))))
-    b = a.withColumn("windows", F.coalesce(windows, F.array().cast("array<long>")))
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    c = b.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed))
-    near = lambda k: F.get(F.col("placed"), k)["h"]
-    found = F.filter("placed", lambda x, k: F.coalesce(near(k - 1) == x["h"], F.lit(False)) | F.coalesce(near(k + 1) == x["h"], F.lit(False)))
-    d = c.withColumn("at", F.array_sort(F.transform(found, lambda x: x["i"])))
-    covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
+    a = df.withColumn("__words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn("__lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE, "") != ""))
+    windows = F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__words") - WINDOW + 1), lambda i: F.xxhash64(*(F.get(F.col("__words"), i + k - 1) for k in range(WINDOW)))))
+    b = a.withColumn("__windows", F.coalesce(windows, F.array().cast("array<long>")))
+    placed = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    c = b.withColumn("__placed", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), placed))
+    near = lambda k: F.get(F.col("__placed"), k)["h"]
+    found = F.filter("__placed", lambda x, k: F.coalesce(near(k - 1) == x["h"], F.lit(False)) | F.coalesce(near(k + 1) == x["h"], F.lit(False)))
+    d = c.withColumn("__at", F.array_sort(F.transform(found, lambda x: x["i"])))
+    covered = F.aggregate(F.transform("__at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__at"), k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
     plain = lambda chars: F.length(F.translate("text", chars, ""))
     counts = {
-        "n_words": size("words"),
+        "n_words": size("__words"),
         "word_chars": plain(SPACE).cast("long"),
         "n_symbols": (F.length("text") - plain(SYMBOLS)).cast("long"),
-        "n_lines": size("lines"),
-        "n_dup_lines": size("lines") - size(F.array_distinct("lines")),
-        "n_stop_words": size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))),
+        "n_lines": size("__lines"),
+        "n_dup_lines": size("__lines") - size(F.array_distinct("__lines")),
+        "n_stop_words": size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
     }
-    helpers = {"text", "words", "lines", "windows", "placed", "at"}
-    return d.select(*(c for c in df.columns if c not in helpers), *(c.alias(n) for n, c in counts.items()))
+    helpers = {"text", "__words", "__lines", "__windows", "__placed", "__at"}
+    return d.select(*(c for c in df.columns if c not in helpers | set(counts)), *(c.alias(n) for n, c in counts.items()))
 
 
 def judge_quality(docs: DataFrame, *, rules: Sequence[tuple[str, float | None, float | None, int]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -193,3 +193,24 @@ def test_quality_fits_on_long_texts_and_a_bounded_sample(spark):
     some = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
     got = {r.doc_id: r.score for r in Q.score_quality(rows, some, max_labelled=20, training_passages=5).collect()}
     assert all((s >= 0.5) == (i % 2 == 0) for i, s in got.items())
+
+
+def test_url_training_table(spark):
+    rows = U.default_training()
+    by_label = U.held_out_accuracy(rows)
+    assert by_label[0] > 0.9 and by_label[1] > 0.7
+    table = spark.createDataFrame([*rows, (None, 1), ("http://x.org/", None)], "url string, label int")
+    assert sorted(U.labelled(table)) == sorted(rows)
+    pages = spark.createDataFrame([(1, "http://free-casino.example.com/x"), (2, "http://village-school.example.com/x")], "page_id long, url string")
+    assert [r.verdict for r in U.judge_urls(pages, training=table).orderBy("page_id").collect()] == ["block", "allow"]
+    for bad in (table.where("label = 1"), table.where("false")):
+        try:
+            U.labelled(bad)
+            raise AssertionError
+        except ValueError:
+            pass
+    try:
+        U.labelled(table, max_training=10)
+        raise AssertionError
+    except ValueError:
+        pass

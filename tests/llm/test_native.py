@@ -121,3 +121,30 @@ def test_mixing_odd(spark):
     assert got.columns == odd_docs(spark).columns
     assert not {3, 4, 5} & {r.doc_id for r in got.collect()} and len(EXTRA) == len(got.columns) - 5
     assert mixing.mix_documents(odd_docs(spark, empty=True)).count() == 0
+
+
+def test_long_texts_and_overlaps(spark):
+    """Texts of a million characters with many spans, and candidates beside and across base spans against brute force."""
+    r = random.Random(4)
+    parts = ["token=abcdefgh1", "a1B2" * 6, " ", "0123456789abcdef" * 2, "AKIA" + "Z9" * 8, "secret:", "=", "-", "Zz9Yy8Xx7Ww6Vv5Uu4Tt3"]
+    made = ["".join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(200)]
+    made += ["token=abcdefgh1 " * 60_000, ("token=abcdefgh1 " + "a1B2" * 6 + " ") * 24_000, "x" * 1_000_000]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    masked = {x.doc_id: x.text for x in S.redact(rows).collect()}
+    for x in S.scan(rows).select("doc_id", "base_spans", "spans").collect():
+        text, at, out = made[x.doc_id], 0, []
+        assert [tuple(s) for s in x.base_spans] == base_spans(text)
+        own = {(m.start(), m.end()) for m in re.finditer(S.CANDIDATE, text)}
+        for s in x.spans:
+            if s.kind == 3 and len(text) < 100_000:
+                assert (s.start, s.end) in own and not any(b.start < s.end and s.start < b.end for b in x.base_spans)
+            if s.start >= at:
+                out.append(text[at : s.start] + S.MASK)
+            at = max(at, s.end)
+        assert masked[x.doc_id] == "".join(out) + text[at:]
+
+
+def test_measures_keep_other_columns(spark):
+    names = ["words", "lines", "windows", "placed", "at"]
+    got = quality_rules.measures(spark.createDataFrame([("a b", *"vwxyz")], "text string, " + ", ".join(f"{c} string" for c in names))).first()
+    assert [got[c] for c in names] == list("vwxyz") and got.n_words == 2

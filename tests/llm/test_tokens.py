@@ -111,3 +111,59 @@ def test_files_have_bloom_filters_and_indexes(spark, tmp_path):
     write_token_files(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), str(path), PATH)
     f = orc.ORCFile(str(next(path.glob("*.orc"))))
     assert f.row_index_stride == 1000 and f.nstripes >= 1
+
+
+def test_place_keeps_other_columns(spark):
+    rows = spark.range(500).select((F.col("id") % 40 + 1).alias("length"), *(F.col("id").alias(c) for c in ("row", "salt", "rank", "sequence_id", "offset", "doc_id", "piece")))
+    got = place(rows, capacity=64).toPandas()
+    assert got.columns.tolist() == ["length", "row", "salt", "rank", "doc_id", "piece", "sequence_id", "offset"]
+    assert got.row.tolist() == got.salt.tolist() == got["rank"].tolist() and len(got) == 500 and (got.groupby("sequence_id").length.sum() <= 64).all()
+
+
+def test_plan_against_the_best_possible():
+    """All ways to fill bins, for small inputs: seldom one bin more, never two."""
+    r = random.Random(10)
+
+    def best(sizes, capacity):
+        fewest = [len(sizes)]
+
+        def go(i, bins):
+            if len(bins) >= fewest[0]:
+                return
+            if i == len(sizes):
+                fewest[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + sizes[i] <= capacity and bins[k] not in bins[:k]:
+                    go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+            go(i + 1, [*bins, sizes[i]])
+
+        go(0, [])
+        return fewest[0]
+
+    more = 0
+    for _ in range(150):
+        sizes = sorted((r.randint(1, 20) for _ in range(r.randint(1, 8))), reverse=True)
+        parts = plan({n: sizes.count(n) for n in sizes}, 20)
+        bins = {start + (k - first) // each for n, p in parts.items() for (first, start, each, _), end in zip(sorted(p), [*(x[0] for x in sorted(p)[1:]), sizes.count(n)]) for k in range(first, end)}
+        over = len(bins) - best(sizes, 20)
+        assert over in (0, 1)
+        more += over
+    assert more <= 5
+
+
+def test_files_hold_bloom_filters(spark, tmp_path):
+    """The filter is read, not only written: its streams are there, and an id that no row has reads no row group."""
+    path = tmp_path / "t"
+    write_token_files(spark.range(30_000).select((F.col("id") * 2).alias("doc_id"), F.lit("a b").alias("text")), str(path), PATH)
+    jvm = spark.sparkContext._jvm
+    conf = jvm.org.apache.hadoop.conf.Configuration()
+    for f in path.glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        names = list(reader.getSchema().getFieldNames())
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), str(s.getKind())) for s in (footer.getStreams(i) for i in range(footer.getStreamsCount()))}
+            assert (names.index("doc_id") + 1, "BLOOM_FILTER_UTF8") in kinds and (names.index("doc_id") + 1, "ROW_INDEX") in kinds
+        rows.close()
