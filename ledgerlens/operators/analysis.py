@@ -16,6 +16,15 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], least: float | None
     return (rows if least is None else rows.where(F.col("abs_corr") >= least)).orderBy(F.desc("abs_corr"), "feature_a", "feature_b")
 
 
+def drop_correlated(df: DataFrame, columns: Sequence[str], least: float = 0.8) -> DataFrame:
+    """``df`` without those of ``columns`` that correlate with an earlier kept one at ``least`` or more."""
+    high, kept = {(r.feature_a, r.feature_b) for r in correlation_pairs(df, columns, least).collect()}, []
+    for c in columns:
+        if not any((k, c) in high for k in kept):
+            kept.append(c)
+    return df.drop(*(c for c in columns if c not in kept))
+
+
 def mean_abs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean absolute value of each column, as (feature, importance)."""
     one = df.agg(*(F.avg(F.abs(c)).alias(c) for c in columns))
@@ -37,8 +46,8 @@ def flagged_share(df: DataFrame, candidates: Mapping[str, float], value: str) ->
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.lit(float(t)).alias("threshold"), F.col(n).alias("share")) for n, t in candidates.items()))).alias("r")).select("r.*")
 
 
-def stratified_split(df: DataFrame, label: str, id_col: str = "id", share: float = 0.8, seed: int = 42, salts: int = 64) -> DataFrame:
-    """``is_train``: of each class the first ``share`` of the rows in the order of a seeded hash, exactly; strata are counted in salted parts."""
+def stratified_split(df: DataFrame, label: str, id_col: str = "id", share: float = 0.8, seed: int = 42) -> DataFrame:
+    """``is_train``: of each class the first ``share`` of the rows in the order of a seeded hash, exactly; strata are counted in 256 parts by the hash."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     a = df.withColumn("__h", h).withColumn("__part", F.substring("__h", 1, 2))
     parts = a.groupBy(label, "__part").agg(F.count(F.lit(1)).alias("__n"))

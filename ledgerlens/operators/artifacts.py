@@ -18,6 +18,12 @@ def group_rates(df: DataFrame, group: str = "mcc", label: str = "fraud") -> Data
     return df.groupBy(group).agg(F.count(label).alias("cnt"), F.avg(label).alias("rate"))
 
 
+def ranked_rates(df: DataFrame, n: int, group: str = "mcc", label: str = "fraud") -> DataFrame:
+    """The ``n`` groups of the highest label rate, with all their rows counted; equal rates by the group."""
+    rates = df.groupBy(group).agg(F.count(F.lit(1)).alias("cnt"), F.avg(label).alias("rate"))
+    return rates.orderBy(F.desc("rate"), F.asc(group)).limit(n)
+
+
 def risky_groups(df: DataFrame, *, group: str = "mcc", label: str = "fraud", least: int = 1000, times: float = 3.0) -> DataFrame:
     """Groups of at least ``least`` rows whose rate is at least ``times`` the base rate (one row holds the base rate)."""
     base = df.agg(F.avg(label).alias("base"))
@@ -25,8 +31,10 @@ def risky_groups(df: DataFrame, *, group: str = "mcc", label: str = "fraud", lea
     return group_rates(df, group, label).join(F.broadcast(base)).where((F.col("cnt") >= least) & (F.col("rate") >= times * F.col("base"))).select(group, "cnt", "rate")
 
 
-def risky_by_quantile(df: DataFrame, *, group: str = "mcc", label: str = "fraud", q: float = 0.95, least: int = 200) -> DataFrame:
-    """Groups of at least ``least`` rows whose rate reaches the q quantile of all such groups' rates; raises if there are none."""
+def risky_by_quantile(df: DataFrame, *, group: str = "mcc", label: str = "fraud", q: float = 0.95, least: int = 200, cutoff_year: int | None = None, year: str = "tx_year") -> DataFrame:
+    """Groups of at least ``least`` rows (up to ``cutoff_year``) whose rate reaches the q quantile of all such groups' rates; raises if there are none."""
+    if cutoff_year is not None:
+        df = df.where(F.col(year) <= cutoff_year)
     rates = group_rates(df, group, label).where(F.col("cnt") >= least)
     (cut,) = quantiles(rates, "rate", [q])
     if cut is None:

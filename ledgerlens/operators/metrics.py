@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +33,30 @@ def rank_metrics(df: DataFrame, label: str = "label", score: str = "score") -> D
 
 def topk(df: DataFrame, shares: Sequence[float] = (0.001, 0.002, 0.005, 0.01), label: str = "label", score: str = "score", id_col: str = "id") -> DataFrame:
     """Precision, recall and lift of the top max(ceil(n * share), 1) rows; equal scores are taken by ascending id."""
-    t = score_table(df, label, score)
-    n, pos = t.agg(F.sum("n"), F.sum("p")).first()
-    import math
-
-    grid = df.sparkSession.createDataFrame([(s, max(math.ceil(n * s), 1)) for s in shares], "top_pct double, k long")
-    # Whole scores above the cut, then the cut's own ties by id; one row per share is broadcast.
-    cut = grid.join(t.select("value", "n", "p", "cum_n", "cum_p"), (F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
-    ties = df.join(F.broadcast(cut.select("top_pct", "k", "value", (F.col("k") - F.col("cum_n") + F.col("n")).alias("take"))), F.col(score) == F.col("value"))
-    from pyspark.sql import Window
-
-    ranked = ties.withColumn("r", F.row_number().over(Window.partitionBy("top_pct").orderBy(id_col))).where("r <= take").groupBy("top_pct").agg(F.sum(label).alias("hit"))
-    top = cut.join(ranked, "top_pct").withColumn("tp", F.col("cum_p") - F.col("p") + F.col("hit"))
-    precision, base = F.col("tp") / F.col("k"), pos / n
-    return top.select("top_pct", "k", precision.alias("precision"), (F.col("tp") / max(pos, 1)).alias("recall"), (precision / base).alias("lift"), F.lit(base).alias("base_rate"))
+    n, pos = df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
+    grid = [(float(s), max(math.ceil(n * s), 1)) for s in shares]
+    schema = "top_pct double, k long, `precision` double, recall double, lift double, base_rate double"
+    if not n:
+        return df.sparkSession.createDataFrame([], schema)
+    # The distinct score that each cut falls into: one row per share, found in one pass.
+    row = F.struct("value", "n", "p", "cum_n", "cum_p")
+    at = score_table(df, label, score).agg(*(F.max(F.when((F.col("cum_n") >= k) & (F.col("cum_n") - F.col("n") < k), row)).alias(f"c{i}") for i, (_, k) in enumerate(grid))).first()
+    hits, cut = {}, {}
+    for i, (_, k) in enumerate(grid):
+        c = at[f"c{i}"]
+        if c is None:  # more asked for than there is
+            hits[i] = pos
+        elif c.cum_n == k:
+            hits[i] = c.cum_p
+        else:
+            hits[i], cut[i] = c.cum_p - c.p, (c.value, k - c.cum_n + c.n)
+    # Of the cut's own ties the first by id: a bounded sorted take, not a ranking of all ties.
+    parts = [df.where(F.col(score) == value).select(id_col, label).orderBy(id_col).limit(take).agg(F.lit(i).alias("i"), F.sum(label).alias("hit")) for i, (value, take) in cut.items()]
+    if parts:
+        for r in functools.reduce(DataFrame.unionByName, parts).collect():
+            hits[r.i] += r.hit
+    rows = [(s, k, hits[i] / k, hits[i] / max(pos, 1), hits[i] / k / (pos / n) if pos else 0.0, pos / n) for i, (s, k) in enumerate(grid)]
+    return df.sparkSession.createDataFrame([tuple(float(x) if j != 1 else int(x) for j, x in enumerate(r)) for r in rows], schema)
 
 
 def at_thresholds(df: DataFrame, thresholds: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -52,8 +65,12 @@ def at_thresholds(df: DataFrame, thresholds: DataFrame, label: str = "label", sc
     The rows are pre-aggregated by the interval between neighbouring thresholds that their score falls into.
     """
     edges = sorted({r.threshold for r in thresholds.select("threshold").distinct().collect()})
-    level = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(score)))
-    counts = {r.level: (r.n, r.p) for r in df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p")).collect()}
+    # How many edges a score reaches, by binary search; a score that is missing reaches none.
+    reach = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__score", outputCol="__level", handleInvalid="keep")
+    x = F.col(score).cast("double")
+    held = df.select(x.alias("__score"), F.col(label).alias("__label"))
+    level = F.when(F.col("__score").isNull(), 0).when(F.isnan("__score"), len(edges)).otherwise(F.least(F.col("__level"), F.lit(len(edges)))).cast("int")
+    counts = {r.level: (r.n, r.p or 0) for r in reach.transform(held).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("__label").alias("p")).collect()}
     pos, rows = sum(p for _, p in counts.values()), []
     for i, e in enumerate(edges):
         alerts, tp = (sum(x) for x in zip(*[v for k, v in counts.items() if k > i])) if any(k > i for k in counts) else (0, 0)

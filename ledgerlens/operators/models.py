@@ -32,6 +32,12 @@ def fit_logit(train: DataFrame, features: Sequence[str], *, iterations: int = 10
     return Pipeline(stages=stages).fit(train)
 
 
+def fit_plain_logit(train: DataFrame, features: Sequence[str], label: str = "fraud", *, iterations: int = 100) -> PipelineModel:
+    """Neither weighted nor penalised: the maximum likelihood."""
+    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), LogisticRegression(labelCol=label, regParam=0.0, standardization=True, maxIter=iterations, tol=1e-10)]
+    return Pipeline(stages=stages).fit(train)
+
+
 def fit_trees(train: DataFrame, features: Sequence[str], *, validation: str | None = None, **options) -> PipelineModel:
     """Boosted trees; ``validation`` names a boolean column of rows for early stopping."""
     gbt = GBTClassifier(**({"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, "weightCol": "weight"} | options))
@@ -77,14 +83,19 @@ def with_unknown(df: DataFrame, categories: Sequence[str]) -> DataFrame:
     return df.withColumns({c: known_or(F.col(c).cast("string")) for c in categories})
 
 
+def baseline_frame(df: DataFrame, *, drop: Sequence[str] = ("id", "date", "amount"), categories: Sequence[str] = ("mcc",)) -> DataFrame:
+    """What a baseline model may see: no ids, dates and raw amounts; categories as text, null as ``UNK``."""
+    return with_unknown(df.drop(*drop), categories)
+
+
 def imputed(columns: Sequence[str]) -> Pipeline:
     """Medians for missing numbers, then scaling."""
     return Pipeline(stages=[Imputer(inputCols=list(columns), outputCols=[f"{c}_filled" for c in columns], strategy="median"), VectorAssembler(inputCols=[f"{c}_filled" for c in columns], outputCol="filled"), StandardScaler(inputCol="filled", outputCol="features", withMean=True)])
 
 
 def _glm(df: DataFrame, features: Sequence[str], label: str):
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(df.select("id", F.col(label).cast("double").alias("label"), *(finite(F.col(c).cast("double")).alias(c) for c in features)))
-    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", maxIter=50).fit(data), data
+    data = VectorAssembler(inputCols=list(features), outputCol="__features").transform(df.select("id", F.col(label).cast("double").alias("label"), *(finite(F.col(c).cast("double")).alias(c) for c in features)))
+    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="__features", maxIter=50).fit(data), data
 
 
 def univariate_logits(df: DataFrame, features: Sequence[str], label: str = "fraud") -> DataFrame:
@@ -129,4 +140,3 @@ def drop_one(train: DataFrame, valid: DataFrame, features: Sequence[str], **opti
     base = ap(list(features))
     rows = [(c, base, without, base - without) for c in features for without in [ap([f for f in features if f != c])]]
     return train.sparkSession.createDataFrame(rows, "feature string, base double, without double, loss double")
-

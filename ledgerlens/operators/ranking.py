@@ -43,5 +43,8 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> list[float | No
         return [None] * len(qs)
     at = [(total - 1) * q for q in qs]
     wanted = sorted({r for p in at for r in (math.floor(p), math.ceil(p))})
-    picks = ranked.agg(*(F.min(F.when(F.col("cum_n") > r, F.col("value"))).alias(f"r{r}") for r in wanted)).first()
-    return [float(picks[f"r{math.floor(p)}"] + (picks[f"r{math.ceil(p)}"] - picks[f"r{math.floor(p)}"]) * (p - math.floor(p))) for p in at]
+    # The few rows that hold a wanted rank (counted from 0).
+    holds = F.exists(F.array(*map(F.lit, wanted)), lambda r: (r >= F.col("cum_n") - F.col("n")) & (r < F.col("cum_n")))
+    rows = ranked.where(holds).select("value", "n", "cum_n").collect()
+    picks = {r: float(x.value) for r in wanted for x in rows if x.cum_n - x.n <= r < x.cum_n}
+    return [picks[math.floor(p)] + (picks[math.ceil(p)] - picks[math.floor(p)]) * (p - math.floor(p)) for p in at]

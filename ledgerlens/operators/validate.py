@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from html import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,3 +87,20 @@ def split_columns(df: DataFrame, label: str = "fraud", id_col: str = "id") -> tu
     require_columns(df, [label, id_col])
     numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
     return [c for c, t in df.dtypes if t in numeric and c not in (label, id_col)], df
+
+
+def drop_incomplete(df: DataFrame, columns: Sequence[str], condition: Column | None = None) -> DataFrame:
+    """The rows that meet a condition and have no null in ``columns``."""
+    return require_columns(df if condition is None else df.where(condition), columns).na.drop(subset=list(columns))
+
+
+def shape_report(df: DataFrame) -> DataFrame:
+    """``column, type, nulls, rows`` of each column; one aggregation."""
+    one = df.agg(F.count(F.lit(1)).alias("__rows"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"__n{i}") for i, c in enumerate(df.columns)))
+    rows = (F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"__n{i}").alias("nulls"), F.col("__rows").alias("rows")) for i, (c, t) in enumerate(df.dtypes))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def column_listing(df: DataFrame) -> str:
+    """The columns with their types as an HTML list."""
+    return "<ol>" + "".join(f"<li>{escape(c)}: {escape(t)}</li>" for c, t in df.dtypes) + "</ol>"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import feature_queries, table_queries
+from ledgerlens.plans import feature_queries, operator_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = feature_queries.QUERIES | table_queries.QUERIES
-ORACLE_SQL: dict[str, str] = feature_queries.SQL | table_queries.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = feature_queries.QUERIES | table_queries.QUERIES | operator_queries.QUERIES
+ORACLE_SQL: dict[str, str] = feature_queries.SQL | table_queries.SQL | operator_queries.SQL

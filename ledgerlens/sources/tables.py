@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
@@ -14,9 +15,21 @@ USERS = "id long, current_age int, retirement_age string, birth_year int, birth_
 CARDS = "id long, client_id long, card_brand string, card_type string, card_number string, expires string, cvv string, has_chip string, credit_limit string, acct_open_date string, year_pin_last_changed int, card_on_dark_web string"
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """One or more Parquet files or folders as one table; columns are matched by name."""
-    return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
+def read_parquet(spark: SparkSession, *paths: str, merge: bool | None = None) -> DataFrame:
+    """One or more Parquet files or folders as one table; columns are matched by name.
+
+    ``merge`` looks into every file's footer for columns; by default only where there are several paths. A path that
+    isn't there, or a folder without Parquet files, is a FileNotFoundError.
+    """
+    for path in paths:
+        fs, p = _at(spark, path)
+        found = fs.globStatus(p)
+        if not found:
+            raise FileNotFoundError(path)
+        for status in found:
+            if status.isDirectory() and not any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(status.getPath())):
+                raise FileNotFoundError(f"no files in {path}")
+    return spark.read.option("mergeSchema", len(paths) > 1 if merge is None else merge).parquet(*paths)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -45,15 +58,34 @@ def write_scores(df: DataFrame, path: str, id_col: str = "id") -> None:
     df.select(id_col, "score").write.mode("overwrite").parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """A path with the Hadoop file system that it belongs to, so that any store Spark knows will do."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def save_artifacts(values: Mapping, path: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(dict(values), f, ensure_ascii=False, indent=2)
+    """A few fitted values as one JSON object."""
+    fs, p = _at(SparkSession.active(), path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(values, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
 
 
 def load_artifacts(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    spark = SparkSession.active()
+    _, p = _at(spark, path)
+    return json.loads(spark.read.text(p.toString(), wholetext=True).first()[0])
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); in local mode without one, in the temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -137,3 +137,88 @@ def test_sources(spark, tmp_path):
     T.write_csv(df, str(tmp_path / "m"))
     T.write_parquet(df, str(tmp_path / "p"))
     assert T.read_parquet(spark, str(tmp_path / "s"), str(tmp_path / "p")).count() == 6
+
+
+def test_topk_of_equal_scores_and_odd_scores(spark):
+    """One score for all: the first by id, in no one task's ranking; and scores that are missing."""
+    df = spark.range(20_000).select("id", (F.col("id") % 100 == 0).cast("int").alias("label"), F.lit(0.5).alias("score"))
+    got = M.topk(df, [0.001, 0.5, 1.0]).orderBy("k").collect()
+    assert [(r.k, round(r.precision * r.k)) for r in got] == [(20, 1), (10_000, 100), (20_000, 200)]
+    assert M.topk(df.where("false"), [0.1]).count() == 0
+    odd = spark.createDataFrame([(1, 1, 0.9), (2, 0, None), (3, 1, float("nan")), (4, 0, 0.1)], "id long, label int, score double")
+    r = M.at_thresholds(odd, spark.createDataFrame([(0.5,), (0.1,)], "threshold double")).orderBy("threshold").collect()
+    assert [(x.alerts, x.tp) for x in r] == [(3, 2), (2, 2)]
+
+
+@pytest.fixture(scope="module")
+def learnable(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, int(a + 0.3 * e > 0.8), float(a), float(b), "uvw"[i % 3] if i % 10 else None) for i, (a, b, e) in enumerate(r.normal(size=(600, 3)).tolist())]
+    df = spark.createDataFrame(rows, "id long, fraud int, a double, b double, c string")
+    return L.prepared(df.where("id < 400"), ["a", "b"]), L.prepared(df.where("id >= 400"), ["a", "b"]), df
+
+
+def test_early_stopping_search_and_ablation(learnable):
+    train, valid, _ = learnable
+    both = train.withColumn("held", F.lit(False)).unionByName(valid.withColumn("held", F.lit(True)))
+    stopped = L.fit_trees(both, ["a", "b"], validation="held", maxIter=12, maxDepth=2)
+    assert 1 <= stopped.stages[-1].getNumTrees <= 12 and M.rank_metrics(L.score(stopped, valid)).first().auc > 0.9
+    space = {"maxDepth": [1, 2], "maxIter": [2, 4]}
+    model, log = L.random_search(train, valid, ["a", "b"], space, trials=3, seed=7)
+    again = L.random_search(train, valid, ["a", "b"], space, trials=3, seed=7)[1]
+    assert log == again and len(log) == 3 and all(x["maxDepth"] in (1, 2) for x in log)
+    assert M.rank_metrics(L.score(model, valid)).first().prauc == pytest.approx(max(x["value"] for x in log))
+    floor = L.random_search(train, valid, ["a", "b"], space, trials=1, min_recall=0.5)[1][0]["value"]
+    assert 0 < floor <= 1
+    lost = {r.feature: r.loss for r in L.drop_one(train, valid, ["a", "b"], maxIter=3, maxDepth=2).collect()}
+    assert lost["a"] > 0.2 > abs(lost["b"])
+
+
+def test_importances_and_saved_models(spark, learnable, tmp_path):
+    train, valid, _ = learnable
+    model = L.fit_trees(train, ["a", "b"], maxIter=4, maxDepth=2)
+    trees = {r.feature: r.importance for r in L.tree_importance(model, ["a", "b"], valid).collect()}
+    masks = {r.feature: r.importance for r in L.masking_importance(model, valid, ["a", "b"]).collect()}
+    assert trees["a"] > trees["b"] and masks["a"] > 0.2 > abs(masks["b"]) and sum(trees.values()) == pytest.approx(1)
+    T.save_model(model, str(tmp_path / "m"))
+    before, after = ({r.id: r.score for r in L.score(m, valid).collect()} for m in (model, T.load_model(str(tmp_path / "m"))))
+    assert before == after
+
+
+def test_encoders(learnable):
+    df = learnable[2]
+    known = L.with_unknown(df, ["c"])
+    assert {r.c for r in known.select("c").distinct().collect()} == {"u", "v", "w", "UNK"}
+    hot = L.one_hot(["c"]).fit(known.where("c <> 'w'")).transform(known)
+    assert {tuple(r.c_vec.toArray().tolist()) for r in hot.where("c = 'w'").select("c_vec").collect()} == {(0.0, 0.0, 0.0, 1.0, 0.0)} or hot.where("c = 'w'").first().c_vec.toArray()[:3].sum() == 0
+    gaps = df.select(F.when(F.col("id") % 4 != 0, F.col("a")).alias("a"))
+    filled = L.imputed(["a"]).fit(gaps).transform(gaps)
+    assert filled.where(F.col("a_filled").isNull()).count() == 0
+    x = np.array([r.features[0] for r in filled.select("features").collect()])
+    assert abs(x.mean()) < 1e-9 and x.std(ddof=1) == pytest.approx(1)
+    assert L.baseline_frame(df.withColumnRenamed("c", "mcc").withColumn("date", F.lit(1)).withColumn("amount", F.lit(1))).columns == ["fraud", "a", "b", "mcc"]
+
+
+def test_reading_what_is_not_there(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    for path in (tmp_path / "none", tmp_path / "empty"):
+        with pytest.raises(FileNotFoundError):
+            T.read_parquet(spark, str(path))
+
+
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    """A copy of the tree without both folders: the entry imports, its queries are the engine's own."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse"))
+    for gone in (False, True):
+        if gone:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.queries().keys()), len(e.queries()), len(e.oracle_sql()))"], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert said.returncode == 0, said.stderr[-500:]
+        assert said.stdout.split()[1] == str(len(catalogue.QUERIES))
