@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import new_path, ship, stored, texts
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD_CHARS, BLOCK_DOCS, BLOCK_TERMS, BLOCK_QUERIES, QUERY_EVERY = 20_000_000, 64, 4_000_000, 100_000, 50
+SHARD_CHARS, BLOCK_DOCS, BLOCK_TERMS, BLOCK_QUERIES, QUERY_EVERY = 16_000_000, 64, 4_000_000, 100_000, 50
 #: The first wave's shards, and how many times all before it a wave has.
-WAVE, GROWTH = 1, 3
+WAVE, GROWTH = 1, 1
 #: The share of the cut that the lists behind the pivot may add up to; frequent terms: from 1 of so many documents, this many numbers at most.
 SHARE, FREQUENT, DENSE = 0.3, 16, 3_000_000
 ARRAYS = {"terms": np.uint64, "frequencies": np.int64, "offsets": np.int64, "docs": np.int32, "counts": np.int32, "forward": np.int32, "lengths": np.int32, "id_offsets": np.int64, "ids": np.int64}
