@@ -84,44 +84,47 @@ class Channel:
 
     def __init__(self, letters: np.ndarray):
         self.logs = letters.tolist()
+        self.ways: dict[str, list[tuple[int, str, float]]] = {}
 
-    def _ways(self, ch: str) -> list[tuple[str, float]]:
-        """What a character may stand for; an empty text: nothing (it goes)."""
+    def _ways(self, ch: str) -> list[tuple[int, str, float]]:
+        """What a character may stand for: a letter by its code, a border (0), nothing (-1, it goes)."""
         if ch in _CODE:
-            return [(ch, 0.0)]
-        ways = [(" ", BORDER_COST)]
+            return [(_CODE[ch], ch, 0.0)]
+        ways = [(0, " ", BORDER_COST)]
         if ch in SEPARATORS:
-            ways.append(("", SEPARATOR_COST))
-        return ways + [(x, LEET_COST) for x in LEET.get(ch, "")]
+            ways.append((-1, "", SEPARATOR_COST))
+        return ways + [(_CODE[x], x, LEET_COST) for x in LEET.get(ch, "")]
+
+    def _drops(self, token: str) -> list[float]:
+        """What it costs at each place that a repeated letter goes."""
+        if not _TWICE.search(token):
+            return [DOUBLE_COST] * len(token)
+        runs = [x[0] for x in _RUNS.finditer(token)]
+        least = 2 if sum(len(x) > 1 and x.isalpha() for x in runs) >= 3 else 3
+        return [REPEAT_COST if len(x) >= least else DOUBLE_COST for x in runs for _ in x]
 
     def restore(self, token: str) -> str:
         """The best path through the token's lattice; borders come out as spaces."""
-        logs = self.logs
+        logs, ways = self.logs, self.ways
         states: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, -1)}  # by the last two letters: score, last node
         nodes: list[tuple[int, str]] = []
-        runs = [x[0] for x in _RUNS.finditer(token)]
-        least = 2 if sum(len(x) > 1 and x.isalpha() for x in runs) >= 3 else 3
-        drop = [REPEAT_COST if len(x) >= least else DOUBLE_COST for x in runs for _ in x]
-        for ch, twice in zip(token, drop, strict=True):
+        for ch, twice in zip(token, self._drops(token), strict=True):
+            if ch not in ways:
+                ways[ch] = self._ways(ch)
             nxt: dict[tuple[int, int], tuple[float, int]] = {}
             for (a, b), (s, node) in states.items():
-                for out, cost in self._ways(ch):
-                    moves = []
-                    if out == "":
-                        moves.append(((a, b), s + cost, node, ""))
-                    elif out == " ":
-                        moves.append(((0, 0), s + cost + (logs[a][b][0] if b else 0.0), node, " "))
-                    else:
-                        c = _CODE[out]
-                        moves.append(((b, c), s + cost + logs[a][b][c], node, out))
-                        if c == b:
-                            moves.append(((a, b), s + cost + twice, node, ""))
-                    for state, score, parent, letter in moves:
-                        if state not in nxt or score > nxt[state][0]:
-                            if letter:
-                                nodes.append((parent, letter))
-                                parent = len(nodes) - 1
-                            nxt[state] = (score, parent)
+                for c, letter, cost in ways[ch]:
+                    if c < 0:
+                        if (a, b) not in nxt or s + cost > nxt[a, b][0]:
+                            nxt[a, b] = (s + cost, node)
+                        continue
+                    state = (b, c) if c else (0, 0)
+                    score = s + cost + (logs[a][b][c] if c or b else 0.0)
+                    if state not in nxt or score > nxt[state][0]:
+                        nodes.append((node, letter))
+                        nxt[state] = (score, len(nodes) - 1)
+                    if c == b and c and ((a, b) not in nxt or s + cost + twice > nxt[a, b][0]):
+                        nxt[a, b] = (s + cost + twice, node)
             states = nxt
         _, node = max(((s + (logs[a][b][0] if b else 0.0), node) for (a, b), (s, node) in states.items()), default=(0.0, -1))
         out = []
@@ -146,7 +149,7 @@ def restored_words(token: str, channel: Channel) -> list[str]:
     if not suspicious(signs):
         return [core] if core.isalpha() else []
     plain = [w for w in re.split(r"[^\w]+|[\d_]+", core) if w]
-    return list(dict.fromkeys(plain + channel.restore(signs).split() + channel.restore(core).split()))
+    return list(dict.fromkeys(plain + [w for x in dict.fromkeys((signs, core)) for w in channel.restore(x).split()]))
 
 
 def _spaced(tokens: list[str]) -> Iterator[str]:
