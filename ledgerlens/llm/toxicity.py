@@ -42,7 +42,7 @@ STRIP = ".,;:!?\"'`()[]{}<>#$%&*|~^_-+=/\\"
 LEET_COST, SEPARATOR_COST, REPEAT_COST, DOUBLE_COST, BORDER_COST = -1.0, -0.3, -0.7, -6.0, -8.0
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _TWICE, _RUNS = re.compile(r"(.)\1"), re.compile(r"(.)\1*", re.DOTALL)
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 
 
 def _letter_counts(batches: Iterator) -> Iterator:
