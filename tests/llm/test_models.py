@@ -1,5 +1,7 @@
 """URL filter, quality model, toxicity and search: held-out accuracy, brute force and odd inputs."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -214,3 +216,40 @@ def test_url_training_table(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_restore_against_all_paths():
+    """The decoder's path is the best of all paths through the lattice, listed one by one."""
+    rng = np.random.default_rng(5)
+    codes = {c: i + 1 for i, c in enumerate(T.LETTERS)}
+    letters = np.log(rng.dirichlet(np.full(64, 0.3), (64, 64)) + 1e-5).astype(np.float32)
+    logs = letters.astype(float)
+
+    def paths(token, drops):
+        """(text, score) of every way to read the token."""
+        found = [("", 0, 0, 0.0)]
+        for ch, drop in zip(token, drops, strict=True):
+            nxt = []
+            for text, a, b, s in found:
+                options = [(ch, 0.0)] if ch in codes else [(x, T.LEET_COST) for x in T.LEET.get(ch, "")]
+                if ch not in codes:
+                    nxt.append((text + " ", 0, 0, s + T.BORDER_COST + (logs[a, b, 0] if b else 0.0)))
+                if ch in T.SEPARATORS:
+                    nxt.append((text, a, b, s + T.SEPARATOR_COST))
+                for x, cost in options:
+                    nxt.append((text + x, b, codes[x], s + cost + logs[a, b, codes[x]]))
+                    if codes[x] == b:
+                        nxt.append((text, a, b, s + cost + drop))
+            found = nxt
+        return {(t, round(s + (logs[a, b, 0] if b else 0.0), 6)) for t, a, b, s in found}
+
+    for _ in range(400):
+        token = "".join(rng.choice(list("abos01!.-"), rng.integers(1, 9)))
+        drops = []
+        for run in (m[0] for m in re.finditer(r"(.)\1*", token)):
+            drops += [len(run)] * len(run)
+        repeated = sum(len(m[0]) > 1 and m[0].isalpha() for m in re.finditer(r"(.)\1*", token))
+        least = 2 if repeated >= 3 else 3
+        every = paths(token, [T.REPEAT_COST if n >= least else T.DOUBLE_COST for n in drops])
+        best = max(s for _, s in every)
+        assert T.Channel(letters).restore(token) in {t for t, s in every if s >= best - 1e-4}, token
