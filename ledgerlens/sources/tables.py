@@ -39,9 +39,18 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """``{"target": {id: "Yes" | "No"}}`` as (id, fraud): "Yes" is 1, anything else 0; of a repeated id the largest counts.
 
-    One JSON document is read by one task: convert it to Parquet once, then read that.
+    A file holds a document on each line (read line by line), or any documents over any lines (read as one text); what
+    is no such document is an error. One JSON document is read by one task: convert it to Parquet once, then read that.
     """
-    pairs = spark.read.schema("target map<string,string>").option("multiLine", True).json(path).select(F.explode("target").alias("id", "answer"))
+    parsed = lambda text, mode: F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<struct<target:map<string,string>>>", {"mode": mode})
+    file, lines = F.col("_metadata.file_path"), spark.read.text(path).where(F.trim(F.col("value"), F.lit(" \t\r")) != "")
+    broken = [r[0] for r in lines.where(F.size(parsed(F.col("value"), "PERMISSIVE")).isNull()).select(file).distinct().collect()]
+    documents = lines.where(~file.isin(broken)).select(parsed(F.col("value"), "FAILFAST").alias("documents"))
+    if broken:
+        # In a string, too, "} {" may become "},{": neither is an id, or "Yes".
+        joined = F.regexp_replace("value", r"\}\s*\{", "},{")
+        documents = documents.union(spark.read.text(path, wholetext=True).where(file.isin(broken)).select(parsed(joined, "FAILFAST")))
+    pairs = documents.select(F.explode("documents").alias("document")).select(F.explode("document.target").alias("id", "answer"))
     return pairs.groupBy(F.trim("id").cast("long").alias("id")).agg(F.max((F.coalesce(F.col("answer"), F.lit("")) == "Yes").cast("int")).alias("fraud"))
 
 

@@ -126,6 +126,22 @@ def test_split_and_sampling(spark):
     assert a.count() + b.count() == 500 and a.agg(F.max("date")).first()[0] < b.agg(F.min("date")).first()[0]
 
 
+def test_labels_of_many_documents(spark, tmp_path):
+    """All documents of a file count: one a line, one or more over many lines, with blank lines; a cut one is an error."""
+    document = lambda *ids, **how: json.dumps({"about": {"of": "} {"}, "target": {str(i): "Yes" if i % 2 else "No" for i in ids}}, **how)
+    folder = tmp_path / "all labels"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join(document(i, i + 1) for i in range(0, 40, 2)) + "\n\n")
+    (folder / "b.json").write_text(document(40, 41, indent=1))
+    (folder / "c.json").write_text(document(42, 43, indent=1) + "\n" + document(44) + document(45, indent=1))
+    (folder / "d.json").write_text("")
+    want = [(i, i % 2) for i in range(46)]
+    assert sorted((r.id, r.fraud) for r in T.read_labels(spark, str(folder)).collect()) == want
+    (folder / "e.json").write_text(document(46) + "\n" + document(47)[:-3])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        T.read_labels(spark, str(folder)).collect()
+
+
 def test_sources(spark, tmp_path):
     labels = tmp_path / "labels.json"
     labels.write_text(json.dumps({"target": {"1001": "No", "1002": "Yes", "1003": "?"}}))
