@@ -142,6 +142,19 @@ def test_labels_of_many_documents(spark, tmp_path):
         T.read_labels(spark, str(folder)).collect()
 
 
+def test_label_map_scan_in_one_partition(spark):
+    """All maps in one file, as AQE writes them when they are small."""
+    from ledgerlens.plans.operator_queries import QUERIES as queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = queries["label_map_scan"](spark, sf_dir).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
 def test_sources(spark, tmp_path):
     labels = tmp_path / "labels.json"
     labels.write_text(json.dumps({"target": {"1001": "No", "1002": "Yes", "1003": "?"}}))
