@@ -9,16 +9,17 @@ frequencies of their terms are summed over all shards first: every shard scores
 searched in waves of growing size; after each the k-th best (score, id) of a query so far is its *cut*, which all later
 shards get: they return only rows that beat it, whatever the number of shards or of equal copies.
 
-Within a shard a query runs as block-max WAND does, over whole lists instead of single cursors:
+Within a shard similar queries run together as block-max WAND does, over whole lists instead of single cursors:
 
-* pivot: terms stand by falling idf; from the pivot on, the upper bounds of the terms left don't reach ``SHARE`` of the cut.
-  Only lists before the pivot are walked; a document in none of them can't be a hit;
-* blocks: a document found so far is bounded by the block maxima of the frequent terms behind the pivot in its block of
-  ``BLOCK_DOCS``; blocks that can't reach the cut are skipped;
-* what is left is probed in the frequent terms' lists, and scored in full from its forward list if it still may reach the cut.
+* pivot: terms stand by their frequency in the shard; only the lists of those before the pivot (rarer than ``FREQUENT``) are walked;
+* blocks: documents are ordered by groups of similar ones and by length, and blocks of ``BLOCK_DOCS`` are bounded by what the
+  walked lists gave and the block maxima of the terms behind the pivot; blocks that can't reach a query's cut are skipped;
+* for the queries that a block is left for, the terms behind the pivot are added as one matrix product; what then may still
+  reach the cut is scored in full from its forward list.
 
-Bounds are compared with a small slack, so rounding never drops a document; a score is always summed in the order of the
-terms, so it is the same number in every shard. A query's terms count once each; equal scores go by the smaller id.
+Bounds and sums are of 32 bits and compared with a slack of all their roundings, so rounding never drops a document; a score is
+always of 64 bits and summed in the order of the terms, so it is the same number in every shard. A query's terms count once each;
+equal scores go by the smaller id.
 
 Terms are words of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, as 64-bit hashes. Nulls: a null text has no terms and is never
 found; a null id can't be named and is left out of the index. Repeated rows are separate documents and found each; the query
@@ -39,11 +40,16 @@ K1, B, TOP = 1.2, 0.75, 10
 SHARD_CHARS, BLOCK_DOCS, BLOCK_TERMS, BLOCK_QUERIES, QUERY_EVERY = 16_000_000, 64, 4_000_000, 100_000, 50
 #: The first wave's shards, and how many times all before it a wave has.
 WAVE, GROWTH = 1, 1
-#: The share of the cut that the lists behind the pivot may add up to; frequent terms: from 1 of so many documents, this many numbers at most.
-SHARE, FREQUENT, DENSE = 0.3, 16, 3_000_000
+#: Groups of similar documents and of similar queries, told by so many of the most frequent terms.
+GROUPS, GROUP_TERMS = 12, 256
+#: Frequent terms are in this share of a shard's documents; this many numbers at most.
+FREQUENT, DENSE = 0.03, 16_000_000
+#: Queries and their terms searched at once, and postings added at once.
+TOGETHER, TOGETHER_TERMS, PART = 512, 250_000, 100_000
+#: The least score that counts as one in 32 bits, and the relative size of a rounding.
+LEAST, ROUNDING = 1e-30, 2.0**-24
 ARRAYS = {"terms": np.uint64, "frequencies": np.int64, "offsets": np.int64, "docs": np.int32, "counts": np.int32, "forward": np.int32, "lengths": np.int32, "id_offsets": np.int64, "ids": np.int64}
 INDEX = ", ".join(f"{c} binary" for c in ARRAYS) + ", n_words long, n_texts long, wave int"
-SLACK = 1e-9
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -178,30 +184,51 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return spark.read.schema(INDEX).parquet(path)
 
 
+def _groups(rows: np.ndarray, most: int, rounds: int = 8) -> np.ndarray:
+    """A group of each of some documents with similar rows, by k-means on the cosine."""
+    rows = rows - rows.mean(axis=0)
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), np.float32(1e-9))
+    centres = rows[np.linspace(0, len(rows) - 1, most).astype(int)]
+    for _ in range(rounds):
+        group = np.argmax(rows @ centres.T, axis=1)
+        for g in np.unique(group).tolist():
+            centre = rows[group == g].mean(axis=0)
+            centres[g] = centre / max(float(np.linalg.norm(centre)), 1e-9)
+    return np.unique(group, return_inverse=True)[1]
+
+
 class Shard:
     """One shard, ready for queries under the global mean length."""
 
     def __init__(self, row: dict[str, bytes], mean_length: float):
         read = lambda c: np.frombuffer(row[c], ARRAYS[c])
         self.terms, self.offsets, self.forward, self.id_offsets, self.ids = (read(c) for c in ("terms", "offsets", "forward", "id_offsets", "ids"))
-        self.docs, c, lengths = read("docs").astype(np.int64), read("counts").astype(float), read("lengths")
+        docs, c, lengths = read("docs"), read("counts").astype(float), read("lengths")
         self.n, sizes = len(lengths), np.diff(self.offsets)
-        self.impact = c * (K1 + 1) / (c + (K1 * (1 - B + B * lengths / mean_length))[self.docs])
+        self.impact = c * (K1 + 1) / (c + (K1 * (1 - B + B * lengths / mean_length))[docs])
         del c
-        self.most = np.maximum.reduceat(self.impact, self.offsets[:-1]) if len(self.terms) else np.zeros(0)
         self.term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
-        self.forward_offsets = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
+        self.forward_offsets = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=self.n))])
         self.weight, self.by_id = np.zeros(len(self.terms)), np.sort(self.ids)
-        # Frequent terms: their impacts by document, and the largest of each block.
-        rows = np.flatnonzero(sizes * FREQUENT >= self.n)
-        rows = rows[np.argsort(-sizes[rows], kind="stable")[: max(DENSE // max(self.n, 1), 1)]]
-        self.slot = np.full(len(self.terms), -1)
-        self.slot[rows] = np.arange(len(rows))
-        self.dense = np.zeros((len(rows), self.n))
-        for i, t in enumerate(rows.tolist()):
-            a, z = self.offsets[t], self.offsets[t + 1]
-            self.dense[i, self.docs[a:z]] = self.impact[a:z]
-        self.block_most = np.maximum.reduceat(self.dense, np.arange(0, self.n, BLOCK_DOCS), axis=1) if self.n else self.dense
+        # Columns: documents by groups of similar ones and by length, so that those of a block are alike.
+        common = np.argsort(-sizes, kind="stable")
+        rows = np.zeros((self.n, min(len(common), GROUP_TERMS)), np.float32)
+        for i, (a, z) in enumerate(zip(self.offsets[common[:GROUP_TERMS]].tolist(), self.offsets[common[:GROUP_TERMS] + 1].tolist())):
+            rows[docs[a:z], i] = 1
+        self.doc = np.lexsort((lengths, _groups(rows, min(GROUPS, self.n)))) if self.n else np.zeros(0, np.int64)
+        del rows
+        column = np.empty(self.n, np.int32)
+        column[self.doc] = np.arange(self.n, dtype=np.int32)
+        self.column, self.impact32 = column[docs], self.impact.astype(np.float32)
+        # Frequent terms: their impacts by column, and the largest of each block.
+        rows = common[: int(np.count_nonzero(sizes >= self.n * FREQUENT))][: max(DENSE // max(self.n, 1), 1)]
+        self.slot = np.full(len(self.terms), -1, np.int32)
+        self.slot[rows] = np.arange(len(rows), dtype=np.int32)
+        self.dense = np.zeros((self.n, len(rows)), np.float32)
+        for i, (a, z) in enumerate(zip(self.offsets[rows].tolist(), self.offsets[rows + 1].tolist())):
+            self.dense[self.column[a:z], i] = self.impact32[a:z]
+        self.blocks = np.arange(0, self.n, BLOCK_DOCS)
+        self.block_most = np.maximum.reduceat(self.dense, self.blocks, axis=0) if self.n else self.dense
 
     def scores(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of some documents (with terms) under the weights set for a query, each summed in the order of its terms."""
@@ -215,55 +242,71 @@ class Shard:
         at = np.searchsorted(self.terms, terms)
         return np.where((at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms), at, -1) if len(self.terms) else np.full(len(terms), -1)
 
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best rows (ids, scores) for a query's sorted terms and their weights, without those named ``skip``."""
-        order = np.argsort(-idf, kind="stable")
-        return self.best(self.places(terms)[order], idf[order], k, skip)
-
-    def best(self, at: np.ndarray, idf: np.ndarray, k: int, skip: int | None, cut: tuple[float, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """``top`` for terms by their places, the rarest first; with a cut (score, id) only rows that beat it."""
-        there = at >= 0
+        return self.best(self.places(terms), idf, np.array([0, len(terms)]), k, [skip], np.zeros(1), np.zeros(1, np.int64))[0]
+
+    def best(self, at: np.ndarray, idf: np.ndarray, offsets: np.ndarray, k: int, skip: list[int], least: np.ndarray, last: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of some queries by the places of their terms; with a cut (score in ``least``, id in ``last``; score 0: none) only rows that beat it."""
+        n, out = len(skip), [(np.zeros(0, np.int64), np.zeros(0))] * len(skip)
+        if not self.n:
+            return out
+        there = np.flatnonzero(at >= 0)
+        query = np.repeat(np.arange(n), np.diff(offsets))[there]
+        offsets = np.searchsorted(query, np.arange(n + 1))
         at, idf = at[there], idf[there]
-        bound = idf * self.most[at]
-        left = bound.sum() - np.cumsum(bound)  # what the terms behind each may add
-        least = cut[0] if cut else 0.0
-        if not len(at) or bound.sum() < least * (1 - SLACK):
-            return np.zeros(0, np.int64), np.zeros(0)
-        own = 0 if skip is None else int(np.searchsorted(self.by_id, skip, "right") - np.searchsorted(self.by_id, skip))
-        enough = k + own  # rows that are skipped may be among the best
-        pivot = int(np.argmax(left <= SHARE * least)) + 1 if cut else len(at)
-        walked = list(zip(self.offsets[at[:pivot]].tolist(), self.offsets[at[:pivot] + 1].tolist()))
-        gains = np.concatenate([self.impact[a:z] for a, z in walked])
-        gains *= np.repeat(idf[:pivot], [z - a for a, z in walked])
-        total = np.bincount(np.concatenate([self.docs[a:z] for a, z in walked]), weights=gains, minlength=self.n)
-        if not cut and self.n >= enough:
-            least = float(np.partition(total, self.n - enough)[self.n - enough])
-        least *= 1 - SLACK
-        alive = np.flatnonzero((total > 0) & (total >= least - left[pivot - 1]))
-        if pivot < len(at) and len(alive):
-            slot, weight = self.slot[at[pivot:]], idf[pivot:]
-            frequent = slot >= 0
-            rest = least - float(bound[pivot:][~frequent].sum())
-            slot, weight = slot[frequent], weight[frequent]
-            alive = alive[total[alive] + (weight @ self.block_most[slot])[alive // BLOCK_DOCS] >= rest]
-            alive = alive[total[alive] + weight @ self.dense[slot[:, None], alive] >= rest]
-        if not len(alive):
-            return np.zeros(0, np.int64), np.zeros(0)
-        self.weight[at] = idf
-        s = self.scores(alive)
-        self.weight[at] = 0.0
-        if len(s) > enough:
-            near = s >= np.partition(s, len(s) - enough)[len(s) - enough]
-            alive, s = alive[near], s[near]
-        first = self.id_offsets[alive]
-        size = np.minimum(self.id_offsets[alive + 1] - first, enough)
-        ids, s = self.ids[_spread(first, size)], np.repeat(s, size)
-        keep = np.ones(len(ids), bool) if skip is None else ids != skip
-        if cut:
-            keep &= (s > cut[0]) | (s == cut[0]) & (ids < cut[1])
-        ids, s = ids[keep], s[keep]
-        order = np.lexsort((ids, -s))[:k]
-        return ids[order], s[order]
+        # A sum of 32-bit numbers is off by so many roundings at most, and two of them may be compared.
+        error = 2 * ROUNDING * (np.diff(offsets) + 10)
+        slot = self.slot[at]
+        rare = np.flatnonzero(slot < 0)
+        sums = self._rare(query[rare], at[rare], idf[rare].astype(np.float32), n)
+        frequent = np.flatnonzero(slot >= 0)
+        weights = np.zeros((n, self.dense.shape[1]), np.float32)
+        weights[query[frequent], slot[frequent]] = idf[frequent]
+        most = np.maximum.reduceat(sums, self.blocks, axis=1) + weights @ self.block_most.T
+        alive = most >= np.maximum(least * (1 - error), LEAST).astype(np.float32)[:, None]
+        for block, a in enumerate(self.blocks.tolist()):
+            asked = np.flatnonzero(alive[:, block])
+            if len(asked):
+                sums[asked, a : a + BLOCK_DOCS] += weights[asked] @ self.dense[a : a + BLOCK_DOCS].T
+        # Rows that are skipped may be among the best.
+        enough = k + np.searchsorted(self.by_id, skip, "right") - np.searchsorted(self.by_id, skip)
+        bar = least.copy()
+        for i in np.flatnonzero((least <= 0) & (enough <= self.n)).tolist():
+            bar[i] = np.partition(sums[i], self.n - enough[i])[self.n - enough[i]]
+        near = np.flatnonzero(sums >= np.maximum(bar * (1 - error), LEAST).astype(np.float32)[:, None])
+        whose, near = near // self.n, self.doc[near % self.n]
+        ends = np.searchsorted(whose, np.arange(n + 1)).tolist()
+        for i in np.unique(whose).tolist():
+            mine = slice(offsets[i], offsets[i + 1])
+            self.weight[at[mine]] = idf[mine]
+            alive = near[ends[i] : ends[i + 1]]
+            s = self.scores(alive)
+            self.weight[at[mine]] = 0.0
+            if len(s) > enough[i]:
+                kept = s >= np.partition(s, len(s) - enough[i])[len(s) - enough[i]]
+                alive, s = alive[kept], s[kept]
+            first = self.id_offsets[alive]
+            size = np.minimum(self.id_offsets[alive + 1] - first, enough[i])
+            ids, s = self.ids[_spread(first, size)], np.repeat(s, size)
+            keep = ids != skip[i]
+            if least[i] > 0:
+                keep &= (s > least[i]) | (s == least[i]) & (ids < last[i])
+            ids, s = ids[keep], s[keep]
+            order = np.lexsort((ids, -s))[:k]
+            out[i] = ids[order], s[order]
+        return out
+
+    def _rare(self, query: np.ndarray, at: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+        """What terms add by their lists to each of n queries' scores, by column."""
+        sums, first, size = np.zeros((n, self.n), np.float32), self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+        flat, row, upto, a = sums.reshape(-1), query * self.n, np.cumsum(size), 0
+        while a < len(at):
+            z = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PART, "right")), a + 1)
+            spread = _spread(first[a:z], size[a:z])
+            np.add.at(flat, np.repeat(row[a:z], size[a:z]) + self.column[spread], np.repeat(idf[a:z], size[a:z]) * self.impact32[spread])
+            a = z
+        return sums
 
 
 def _frequencies(shared):
@@ -281,6 +324,15 @@ def _frequencies(shared):
     return run
 
 
+def _together(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Queries that are searched at once, from and to."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        z = min(max(int(np.searchsorted(offsets, offsets[a] + TOGETHER_TERMS, "right")) - 1, a + 1), a + TOGETHER, n)
+        yield a, z
+        a = z
+
+
 def _search(queries, cuts, k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -292,10 +344,11 @@ def _search(queries, cuts, k: int):
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard({c: b.column(c)[i].as_buffer() for c in ARRAYS}, q["mean_length"])
-                at, found = shard.places(q["wanted"]), []
-                for j, (qid, a, z) in enumerate(zip(q["ids"], q["offsets"][:-1], q["offsets"][1:])):
-                    cut = (float(scores[j]), int(last[j])) if scores[j] > 0 else None
-                    found.append((qid, *shard.best(at[q["terms"][a:z]], q["idf"][q["terms"][a:z]], k, qid, cut)))
+                at, found, offsets = shard.places(q["wanted"]), [], q["offsets"]
+                for a, z in _together(offsets):
+                    terms = q["terms"][offsets[a] : offsets[z]]
+                    best = shard.best(at[terms], q["idf"][terms], offsets[a : z + 1] - offsets[a], k, q["ids"][a:z], scores[a:z], last[a:z])
+                    found += [(qid, *x) for qid, x in zip(q["ids"][a:z], best)]
                 n = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([x[0] for x in found], n).astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])), pa.array(np.concatenate([np.zeros(0), *(x[2] for x in found)]))], names=["query_id", "doc_id", "score"]
@@ -353,14 +406,21 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = TOP, id_col: str =
         df[counted["place"].to_numpy()] = counted["n"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         ids, offsets = np.array([r.query_id for r in mine], np.int64), np.cumsum([0, *map(len, each)])
-        # Each query's terms, the rarest first.
-        order = np.argsort(np.argsort(-idf, kind="stable"), kind="stable")
-        terms = terms[np.lexsort((order[terms], np.repeat(np.arange(len(ids)), np.diff(offsets))))].astype(np.int32)
-        shared = sc.broadcast({"ids": ids.tolist(), "offsets": offsets.tolist(), "terms": terms, "idf": idf, "wanted": wanted, "mean_length": words / n})
+        # Similar queries stand together.
+        queried = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        place = np.full(len(wanted), -1)
+        place[np.argsort(-np.bincount(terms, minlength=len(wanted)), kind="stable")[:GROUP_TERMS]] = np.arange(min(len(wanted), GROUP_TERMS))
+        rows, common = np.zeros((len(ids), GROUP_TERMS), np.float32), place[terms]
+        rows[queried[common >= 0], common[common >= 0]] = 1
+        order = np.argsort(_groups(rows, min(GROUPS, len(ids))), kind="stable")
+        del rows
+        terms = terms[_spread(offsets[:-1][order], np.diff(offsets)[order])].astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[order])])
+        shared = sc.broadcast({"ids": ids[order].tolist(), "offsets": offsets, "terms": terms, "idf": idf, "wanted": wanted, "mean_length": words / n})
         best, cuts = _merged(k, len(ids), empty)
         for wave in sorted(r.wave for r in stats):
             path = f"{root}/block={block}/wave={wave}"
-            index.where(F.col("wave") == wave).mapInArrow(_search(shared, sc.broadcast(cuts), k), schema).write.parquet(path)
+            index.where(F.col("wave") == wave).mapInArrow(_search(shared, sc.broadcast(tuple(x[order] for x in cuts)), k), schema).write.parquet(path)
             more = _ranked(spark.read.schema(schema).parquet(path), k).select("query_id", "score", "doc_id").toPandas()
             best, cuts = _merged(k, len(ids), best, (np.searchsorted(ids, more["query_id"].to_numpy()), more["score"].to_numpy(), more["doc_id"].to_numpy()))
         shared.unpersist()

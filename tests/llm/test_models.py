@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import quality_model as Q
@@ -151,6 +152,47 @@ def test_search_passes_over_empty_texts(spark):
         assert len(ids) == min(k, 8) and not {3, 10} & set(ids.tolist()) and (scores > 0).all()
 
 
+def test_search_of_queries_together(spark, monkeypatch):
+    """Queries of two vocabularies at once are those alone, with cuts and without, and blocks of the other vocabulary are skipped."""
+    r = np.random.default_rng(7)
+    word = lambda: int(300 * r.random() ** 3)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{word()}" for _ in range(int(r.integers(1, 200))))) for i in range(900)] + [(900 + i, "the same b1 b2 b3") for i in range(30)]
+    index = B.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    row = index.first()
+    shard = B.Shard({c: bytes(row[c]) for c in B.ARRAYS}, row.n_words / row.n_texts)
+    asked = [*range(0, 900, 50), *range(1, 900, 50), 905]
+    idf = np.log(1 + (len(docs) - np.diff(shard.offsets) + 0.5) / (np.diff(shard.offsets) + 0.5))
+    at = [shard.places(np.unique(B._term_counts([docs[i][1]])[1])) for i in asked]
+    offsets, terms = np.cumsum([0, *map(len, at)]), np.concatenate(at)
+    at_once = lambda shard, least, last: shard.best(terms, idf[terms], offsets, 10, asked, least, last)
+    n = len(asked)
+    got = at_once(shard, np.zeros(n), np.zeros(n, np.int64))
+    for i, q in enumerate(asked):
+        shard.weight[at[i]] = idf[at[i]]
+        scores = shard.scores(np.arange(shard.n))
+        shard.weight[at[i]] = 0
+        every = sorted((-s, int(d)) for j, s in enumerate(scores) for d in shard.ids[shard.id_offsets[j] : shard.id_offsets[j + 1]] if s > 0 and d != q)
+        assert [(-s, d) for d, s in zip(*got[i])] == every[:10]
+    least, last = np.array([s[4] for _, s in got]), np.array([d[4] for d, _ in got])
+    scored, full = [], B.Shard.scores
+    monkeypatch.setattr(B.Shard, "scores", lambda self, docs: scored.append(len(docs)) or full(self, docs))
+    monkeypatch.setattr(B, "PART", 50)
+    for i, (ids, s) in enumerate(at_once(shard, least, last)):
+        assert ids.tolist() == got[i][0][:4].tolist() and s.tolist() == got[i][1][:4].tolist()
+    assert sum(scored) <= 6 * n
+    # Blocks of the other vocabulary aren't touched: they may hold anything.
+    other = np.array([docs[int(shard.ids[shard.id_offsets[d]])][1][0] != "a" for d in shard.doc.tolist()])
+    blocks = [b for b in range(0, shard.n - B.BLOCK_DOCS, B.BLOCK_DOCS) if other[b : b + B.BLOCK_DOCS].all()]
+    assert len(blocks) > 3
+    for b in blocks:
+        shard.dense[b : b + B.BLOCK_DOCS] = np.inf
+    part = lambda a, z: shard.best(terms[offsets[a] : offsets[z]], idf[terms[offsets[a] : offsets[z]]], offsets[a : z + 1] - offsets[a], 10, asked[a:z], least[a:z], last[a:z])
+    with np.errstate(invalid="raise"):
+        assert [ids.tolist() for ids, _ in part(0, 18)] == [ids[:4].tolist() for ids, _ in got[:18]]
+        with pytest.raises(FloatingPointError):
+            part(18, 36)
+
+
 def test_search_odd(spark):
     docs = odd_docs(spark)
     index = B.build_index(docs)
