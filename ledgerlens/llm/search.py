@@ -68,6 +68,12 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
 
 
+def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true marks start and end."""
+    steps = np.diff(marks.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+
 def _term_counts(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count) in order of text and term; and each text's number of words."""
     from ledgerlens.llm.shingles import words_of
@@ -265,10 +271,14 @@ class Shard:
         weights[query[frequent], slot[frequent]] = idf[frequent]
         most = np.maximum.reduceat(sums, self.blocks, axis=1) + weights @ self.block_most.T
         alive = most >= np.maximum(least * (1 - error), LEAST).astype(np.float32)[:, None]
-        for block, a in enumerate(self.blocks.tolist()):
-            asked = np.flatnonzero(alive[:, block])
-            if len(asked):
-                sums[asked, a : a + BLOCK_DOCS] += weights[asked] @ self.dense[a : a + BLOCK_DOCS].T
+        asked = np.count_nonzero(alive, axis=0)
+        # Blocks left for most queries are added for all, those side by side at once.
+        for first, z in zip(*(x.tolist() for x in _runs(asked > n // 2))):
+            cells = slice(first * BLOCK_DOCS, z * BLOCK_DOCS)
+            sums[:, cells] += weights @ self.dense[cells].T
+        for block in np.flatnonzero((asked > 0) & (asked <= n // 2)).tolist():
+            cells, some = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS), np.flatnonzero(alive[:, block])
+            sums[some, cells] += weights[some] @ self.dense[cells].T
         # Rows that are skipped may be among the best.
         enough = k + np.searchsorted(self.by_id, skip, "right") - np.searchsorted(self.by_id, skip)
         bar = least.copy()
@@ -406,13 +416,13 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = TOP, id_col: str =
         df[counted["place"].to_numpy()] = counted["n"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         ids, offsets = np.array([r.query_id for r in mine], np.int64), np.cumsum([0, *map(len, each)])
-        # Similar queries stand together.
+        # Similar queries stand together, by their number of terms.
         queried = np.repeat(np.arange(len(ids)), np.diff(offsets))
         place = np.full(len(wanted), -1)
         place[np.argsort(-np.bincount(terms, minlength=len(wanted)), kind="stable")[:GROUP_TERMS]] = np.arange(min(len(wanted), GROUP_TERMS))
         rows, common = np.zeros((len(ids), GROUP_TERMS), np.float32), place[terms]
         rows[queried[common >= 0], common[common >= 0]] = 1
-        order = np.argsort(_groups(rows, min(GROUPS, len(ids))), kind="stable")
+        order = np.lexsort((np.diff(offsets), _groups(rows, min(GROUPS, len(ids)))))
         del rows
         terms = terms[_spread(offsets[:-1][order], np.diff(offsets)[order])].astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[order])])
