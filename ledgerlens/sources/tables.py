@@ -36,9 +36,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, as_is: bool = False) -> DataFrame:
     """``{"target": {id: "Yes" | "No"}}`` as (id, fraud): "Yes" is 1, anything else 0; of a repeated id the largest counts.
 
+    ``as_is`` gives a row for each entry instead, with null for a null answer and for an empty id.
     A file holds a document on each line (read line by line), or any documents over any lines (read as one text); what
     is no such document is an error. One JSON document is read by one task: convert it to Parquet once, then read that.
     """
@@ -51,6 +52,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         joined = F.regexp_replace("value", r"\}\s*\{", "},{")
         documents = documents.union(spark.read.text(path, wholetext=True).where(file.isin(broken)).select(parsed(joined, "FAILFAST")))
     pairs = documents.select(F.explode("documents").alias("document")).select(F.explode("document.target").alias("id", "answer"))
+    if as_is:
+        return pairs.select(F.nullif(F.trim("id"), F.lit("")).cast("long").alias("id"), (F.col("answer") == "Yes").cast("int").alias("fraud"))
     return pairs.groupBy(F.trim("id").cast("long").alias("id")).agg(F.max((F.coalesce(F.col("answer"), F.lit("")) == "Yes").cast("int")).alias("fraud"))
 
 

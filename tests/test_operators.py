@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -155,6 +156,34 @@ def test_label_map_scan_in_one_partition(spark):
     assert got == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
+def test_label_map_scan_of_odd_events(spark, sf_dir, tmp_path):
+    """Ids repeated with one answer and with two, over a map's size; missing ids; props without an answer."""
+    import duckdb
+
+    from ledgerlens.plans import operator_queries as O
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    props = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, "{}").when(F.col("event_id") % 5 == 2, '{"k": null}').otherwise(F.col("props"))
+    ids = F.when(F.col("event_id") % 3 == 0, F.lit(None)).when(F.col("event_id") % 3 == 1, -7).otherwise(F.col("event_id"))
+    odd = e.unionByName(e).unionByName(e.withColumn("props", F.lit('{"k": 99}'))).unionByName(e.withColumn("props", props)).unionByName(e.withColumn("event_id", ids))
+    odd.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = Counter(con.execute(O.SQL["label_map_scan"]).fetchall())
+    assert {(0, None), (None, 0), (None, 1), (-7, 0), (-7, 1)} <= set(want)
+    assert Counter(map(tuple, O.QUERIES["label_map_scan"](spark, str(tmp_path)).collect())) == want
+
+
+def test_labels_as_they_are(spark, tmp_path):
+    """Every entry of one object or several, or one row per id."""
+    path = tmp_path / "labels.json"
+    path.write_text('{"target": {"1": "No", "1": "Yes", "2": null,\n" 3 ": "?", "": "Yes"}}\n{"target": {"1": "No"}}')
+    got = Counter(map(tuple, T.read_labels(spark, str(path), as_is=True).collect()))
+    assert got == Counter({(1, 0): 2, (1, 1): 1, (2, None): 1, (3, 0): 1, (None, 1): 1})
+    path.write_text('{"target": {"1": "No", "1": "Yes", "2": null}}\n{"target": {"1": "No"}}')
+    assert sorted(map(tuple, T.read_labels(spark, str(path)).collect())) == [(1, 1), (2, 0)]
+
+
 def test_sources(spark, tmp_path):
     labels = tmp_path / "labels.json"
     labels.write_text(json.dumps({"target": {"1001": "No", "1002": "Yes", "1003": "?"}}))
