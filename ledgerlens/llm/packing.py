@@ -30,21 +30,19 @@ from ledgerlens.llm.common import ship, stored, texts
 CAPACITY, END_ID, SALTS = 2048, 0, 128
 HELPERS = ("__pack_row", "__pack_salt", "__pack_rank")
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-BATCH_ROWS = 256
 
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from ledgerlens.llm.encoding import encoder
+        from ledgerlens.llm.encoding import encoder, parts
 
         enc, tail, step = encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                part = whole.slice(at, BATCH_ROWS)
+            for part in parts(whole):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text"))):
                     ids += tail
                     rows += [(doc, k, k * capacity, min(step, len(ids) - k * step) // 4, ids[k * step : (k + 1) * step]) for k in range(-(-len(ids) // step))]
                 cols = list(zip(*rows))

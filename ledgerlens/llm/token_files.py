@@ -23,8 +23,6 @@ from ledgerlens.llm.common import new_path, ship, stored, texts
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens int, shard int, shard_start long"
 END_ID = 2
-#: Rows that a worker turns into one Arrow batch at most.
-BATCH_ROWS = 256
 
 
 def _encode_range(path: str, end_id: int):
@@ -33,19 +31,17 @@ def _encode_range(path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from ledgerlens.llm.encoding import encoder
+        from ledgerlens.llm.encoding import encoder, parts
 
         enc, shard, start = encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                part = whole.slice(at, BATCH_ROWS)
-                ids = [x + tail for x in enc.encode(part.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int32)
-                ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            for part in parts(whole):
+                ids, ends = enc.encode_column(part.column("text"))
+                n = np.diff(ends, prepend=0).astype(np.int32) + 1
+                ids, ends = np.insert(ids, ends, end_id).view("<i4"), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), lists, pa.array(n), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends[:-1])],
+                    [part.column("doc_id"), lists, pa.array(n, pa.int32()), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends[:-1])],
                     names=["doc_id", "ids", "n_tokens", "shard", "shard_start"],
                 )
                 start += int(ends[-1])

@@ -167,3 +167,51 @@ def test_files_hold_bloom_filters(spark, tmp_path):
             kinds = {(s.getColumn(), str(s.getKind())) for s in (footer.getStreams(i) for i in range(footer.getStreamsCount()))}
             assert (names.index("doc_id") + 1, "BLOOM_FILTER_UTF8") in kinds and (names.index("doc_id") + 1, "ROW_INDEX") in kinds
         rows.close()
+
+
+def test_words_that_change_when_lowered(plain):
+    """Letters that become a letter and a mark, before signs: their ids aren't those of the letters and of the signs."""
+    some = ["ABC\u0130. L\u0130L\u0130, x\u0130!", "\u0958. \u0958!! a\u0958.", "\u00c0\u00c9. \u017f; \u0149! \u03a3\u0391\u03a3. \ufb01."]
+    e = WordEncoder(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(some)] == [plain(x) for x in some]
+
+
+def test_words_of_many_texts_are_encoded_once(plain, monkeypatch):
+    """With a full memo, too, the library gets a word once for many texts, and not again for the signs after it."""
+    from ledgerlens.llm import encoding
+
+    monkeypatch.setattr(encoding, "MEMO_WORDS", 0)
+    e, got, learn = WordEncoder(PATH), [], WordEncoder._learn
+    monkeypatch.setattr(WordEncoder, "_learn", lambda self, words: got.append(len(words)) or learn(self, words))
+    some = [f"alpha, beta{'.' * (k % 3)} Gamma {'delta' if k % 2 else 'delta!'}" for k in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(some)] == [plain(x) for x in some]
+    assert 4 <= sum(got) <= 10
+
+
+def test_parts_of_a_batch(plain, monkeypatch):
+    """Slices by rows and by bytes lose no row and give the library's ids, wherever they begin."""
+    import pyarrow as pa
+
+    from ledgerlens.llm import encoding
+
+    some = [f"Wört {k}, naïve. " * (k % 7) + ("<|x|>" if k % 11 == 3 else "") + ("e\u0301" if k % 13 == 5 else "") for k in range(300)]
+    monkeypatch.setattr(encoding, "PART_BYTES", 2000)
+    monkeypatch.setattr(encoding, "PART_ROWS", 40)
+    for kind in (pa.string(), pa.large_string()):
+        cut = list(encoding.parts(pa.RecordBatch.from_arrays([pa.array(some, kind)], names=["text"])))
+        assert max(x.num_rows for x in cut) <= 40 and len(cut) > 8 and [t for x in cut for t in x.column("text").to_pylist()] == some
+        e = WordEncoder(PATH)
+        assert [np.frombuffer(i, "<u4").tolist() for x in cut for i in e.encode(x.column("text"))] == [plain(x) for x in some]
+    assert list(encoding.parts(pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["text"]))) == []
+
+
+def test_tokenizers_of_another_kind_see_whole_texts(tmp_path):
+    """A pre-splitting that keeps the blank before a word: words alone would get other ids."""
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, []))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "t.json"))
+    some = ["Two words", "", " one", "A.B  c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(str(tmp_path / "t.json")).encode(some)] == [other.encode(x, add_special_tokens=False).ids for x in some]
