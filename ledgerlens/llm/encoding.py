@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from ledgerlens.llm.memos import memo
 
 #: Most words that a worker remembers; later ones are encoded as they come.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: Rows and about the bytes of text that are encoded at once, and words that the library gets in one call.
-PART_ROWS, PART_BYTES, CALL_WORDS = 1000, 8 << 20, 20_000
+PART_ROWS, PART_BYTES, CALL_WORDS = 1000, 2 << 20, 4000
 #: Signs that, at a word's end, the pre-splitting parts from its letters (an apostrophe may not be).
 _SIGNS = ".,!?;:#$%&*|)"
 #: Words of letters that stay single letters when normalised (the capital I with a dot doesn't, nor do some of other scripts).

@@ -23,5 +23,13 @@ def forget() -> None:
     if _memos:
         _memos.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library can
-            ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def trim() -> None:
+    """What this worker has freed, by Arrow or by the C library, goes back to the system; else it stays with the worker over stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)

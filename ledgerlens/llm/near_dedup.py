@@ -220,8 +220,10 @@ def _confirmed(least: float, percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from ledgerlens.llm.memos import forget
         from ledgerlens.llm.shingles import common, shingle_sets
 
+        forget()
         for table in _whole_groups(batches):
             p, q = _meetings(table, least, percent)
             rows = np.unique(np.concatenate([p, q]))

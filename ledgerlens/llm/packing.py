@@ -37,6 +37,7 @@ def _cut(path: str, capacity: int, end_id: int):
         import pyarrow as pa
 
         from ledgerlens.llm.encoding import encoder, parts
+        from ledgerlens.llm.memos import trim
 
         enc, tail, step = encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for whole in batches:
@@ -47,6 +48,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     rows += [(doc, k, k * capacity, min(step, len(ids) - k * step) // 4, ids[k * step : (k + 1) * step]) for k in range(-(-len(ids) // step))]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "length", "ids"])
+        trim()
 
     return run
 

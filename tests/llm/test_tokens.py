@@ -1,7 +1,10 @@
 """Encoding, packing and token files against the library's own results."""
 
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,12 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ledgerlens.llm import encoding
 from ledgerlens.llm.encoding import WordEncoder
 from ledgerlens.llm.packing import encode_pieces, op1_best_fit_packing, place, plan
 from ledgerlens.llm.token_files import look_up, op4_token_files, read_token_files, write_token_files
 from tests.llm.helpers import LONG, odd_docs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ROOT = Path(__file__).resolve().parents[2]
 
 
 @pytest.fixture(scope="module")
@@ -215,3 +220,37 @@ def test_tokenizers_of_another_kind_see_whole_texts(tmp_path):
     other.save(str(tmp_path / "t.json"))
     some = ["Two words", "", " one", "A.B  c"]
     assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(str(tmp_path / "t.json")).encode(some)] == [other.encode(x, add_special_tokens=False).ids for x in some]
+
+
+_WORKER = """
+import random, re, sys
+import pyarrow as pa
+from pathlib import Path
+from ledgerlens.llm.encoding import encoder
+from ledgerlens.llm.memos import forget
+from ledgerlens.llm.packing import _cut
+anon = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+most = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+resident = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+rng = random.Random(7)
+text = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(1200))
+batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([text() for _ in range(1000)])], names=["doc_id", "text"])
+next(_cut(sys.argv[1], 2048, 0)(iter([batch.slice(0, 1)])))
+forget()
+before, started = anon(), resident()
+Path("/proc/self/clear_refs").write_text("5")
+for out in _cut(sys.argv[1], 2048, 0)(iter([batch])):
+    assert out.num_rows
+print(len(encoder(sys.argv[1]).memo), most() - started)
+del out
+forget()
+print(anon() - before)
+"""
+
+
+def test_a_worker_encodes_in_bounded_memory_and_gives_it_back():
+    run = subprocess.run([sys.executable, "-c", _WORKER, PATH], cwd=ROOT, capture_output=True, text=True, check=True)
+    words, peak, left = map(int, run.stdout.split())
+    assert words <= encoding.MEMO_WORDS + 1
+    assert peak < 260, "MB beside the texts, 8 MB"
+    assert left < 60, "MB that stay after the task"
